@@ -7,13 +7,15 @@ from concurrent.futures import Future, ThreadPoolExecutor
 from typing import Any
 
 from pyspark import inheritable_thread_target
+from pyspark.sql import SparkSession
 
 _POOL = ThreadPoolExecutor(thread_name_prefix="tidepipe")
 
 
 def spawn(f: Callable[[], Any]) -> Future:
     """Starts ``f``, whose actions Spark schedules beside others."""
-    return _POOL.submit(inheritable_thread_target(f))
+    session = SparkSession.getActiveSession()
+    return _POOL.submit(inheritable_thread_target(session)(f) if session else f)
 
 
 def join(job: Future) -> dict:
