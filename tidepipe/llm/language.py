@@ -43,30 +43,34 @@ def trigrams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each declared language: how often a bucket occurs, and in how many texts."""
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang in pc.unique(batch["declared"]).to_pylist():
             own = batch.filter(pc.equal(batch["declared"], lang))
-            for _, buckets, _ in trigrams(own["t"]):
-                counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                counts[lang] += np.bincount(buckets, minlength=BUCKETS)
-    for lang, n in counts.items():
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(n[at])], names=["declared", "bucket", "n"])
+            total = counts.setdefault(lang, np.zeros((2, BUCKETS), np.int64))
+            for _, buckets, bounds in trigrams(own["t"]):
+                total[0] += np.bincount(buckets, minlength=BUCKETS)
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                    total[1, np.unique(buckets[a:b])] += 1
+    for lang, total in counts.items():
+        at = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["declared", "bucket", "n", "texts"])
 
 
 def fit_trigrams(docs: DataFrame, languages: list[str], training_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(log likelihood of each bucket and language, whether any language knows the bucket)."""
+    """(log likelihood of each bucket and language, whether a language knows the bucket: has it in three texts or more)."""
     sample = None
     for lang in languages:
         one = docs.where(F.col("declared") == lang).select("row", "declared").orderBy(F.xxhash64("row")).limit(training_rows)
         sample = one if sample is None else sample.union(one)
-    rows = docs.select("row", "t").join(F.broadcast(sample), "row").mapInArrow(count_trigrams, "declared string, bucket long, n long")
-    counts = np.zeros((BUCKETS, len(languages)))
-    for r in rows.groupBy("declared", "bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS a language
+    rows = docs.select("row", "t").join(F.broadcast(sample), "row").mapInArrow(count_trigrams, "declared string, bucket long, n long, texts long")
+    counts, texts = np.zeros((BUCKETS, len(languages))), np.zeros(BUCKETS)
+    for r in rows.groupBy("declared", "bucket").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).collect():  # at most BUCKETS a language
+        texts[r["bucket"]] = max(texts[r["bucket"]], r["texts"])
         counts[r["bucket"], languages.index(r["declared"])] = r["n"]
     shares = (counts + 0.2) / (counts.sum(axis=0) + 0.2 * BUCKETS)
-    return np.log(shares).astype(np.float32), counts.sum(axis=1) > 0
+    return np.log(shares).astype(np.float32), texts >= 3
 
 
 def identify_language(
