@@ -60,11 +60,11 @@ def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def fit_trigrams(docs: DataFrame, languages: list[str], training_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(log likelihood of each bucket and language, whether a language knows the bucket: has it in three texts or more)."""
-    sample = None
-    for lang in languages:
-        one = docs.where(F.col("declared") == lang).select("row", "declared").orderBy(F.xxhash64("row")).limit(training_rows)
-        sample = one if sample is None else sample.union(one)
-    rows = docs.select("row", "t").join(F.broadcast(sample), "row").mapInArrow(count_trigrams, "declared string, bucket long, n long, texts long")
+    declared = F.col("declared")
+    there = {r["declared"]: r["n"] for r in docs.where(declared.isin(*languages)).groupBy("declared").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.coalesce(*[F.when(declared == lang, F.lit(0.9 * training_rows / n if n > training_rows else 1.0)) for lang, n in there.items()], F.lit(0.0))
+    chosen = F.pmod(F.xxhash64(F.lit(23), "row"), F.lit(1 << 30)) < share * float(1 << 30)
+    rows = docs.where(declared.isin(*languages)).where(chosen).select("declared", "t").mapInArrow(count_trigrams, "declared string, bucket long, n long, texts long")
     counts, texts = np.zeros((BUCKETS, len(languages))), np.zeros(BUCKETS)
     for r in rows.groupBy("declared", "bucket").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).collect():  # at most BUCKETS a language
         texts[r["bucket"]] = max(texts[r["bucket"]], r["texts"])
@@ -86,8 +86,8 @@ def identify_language(
 ) -> DataFrame:
     """One row per input row: ``doc_id, lang, posterior, text_lang, unknown, accepted``.
 
-    The trigram model is fitted on at most ``training_rows`` rows a language that
-    declare it; priors and the reliability of declarations are counted over all
+    The trigram model is fitted on a sample by hash of the rows that declare a
+    language, nine tenths of ``training_rows`` each so that chance stays below it; priors and the reliability of declarations are counted over all
     rows. A row is rejected if its text has no trigram of letters, if over half of
     its trigrams are unknown to every language, or if the best posterior is low.
 
