@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from .operators.stream import Stream
 from .plans.staging import shared_dir
 from .sources import readers
 from .sinks.writers import sink
+from .streaming import sources as streams
+from .streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -466,8 +469,6 @@ def q_union(spark, d):
 
 
 def _roundtrip(spark, stream: Stream, fmt: str) -> str:
-    import uuid
-
     path = f"{shared_dir(spark)}/tidepipe/{uuid.uuid4().hex}/{fmt}"
     sink(stream, path, fmt)
     return path
@@ -502,3 +503,44 @@ def q_pricing_summary(spark, d):
     kept = Stream.of(table(spark, d, "lineitem"), "l_orderkey").filter(lambda x: x["l_shipdate"] <= F.lit("1998-09-02").cast("timestamp_ntz"))
     revenue = F.sum(F.col("value.l_extendedprice") * (1 - F.col("value.l_discount")))
     return kept.group_by(l_returnflag=lambda x: x["l_returnflag"], l_linestatus=lambda x: x["l_linestatus"]).agg(F.round(F.sum("value.l_quantity"), 2).alias("sum_qty"), F.round(revenue, 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
+
+
+# --- unbounded streams, run to the end of what is there ---------------------------
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def _unbounded(spark: SparkSession, d: str) -> DataFrame:
+    return streams.records(spark, f"{d}/events.parquet*", EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _drained(df: DataFrame) -> DataFrame:
+    """What an append-mode stream writes until its input is used up."""
+    path = f"{shared_dir(df.sparkSession)}/tidepipe/{uuid.uuid4().hex}"
+    run = df.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
+    run.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type = 'purchase'")
+def q_stream_filter_map(spark, d):
+    return _drained(_unbounded(spark, d).where("event_type = 'purchase'").select("event_id", J.decode(F.col("props"), "k int")["ok"]["k"].alias("k")))
+
+
+@query("SELECT event_type, event_id, CAST(sum(user_id) OVER (PARTITION BY event_type ORDER BY event_id) AS DOUBLE) AS user_id FROM events")
+def q_stream_scan(spark, d):
+    return _drained(stateful.scan(_unbounded(spark, d), "event_type", "event_id", "user_id", 0.0, lambda a, x: a + x))
+
+
+@query("SELECT DISTINCT event_type FROM events")
+def q_stream_distinct(spark, d):
+    return _drained(stateful.distinct(_unbounded(spark, d), ["event_type"], "ts", "3650 days").select("event_type"))
+
+
+@query("""
+    WITH r AS (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS n, count(*) OVER (PARTITION BY event_type) AS all_n FROM events)
+    SELECT event_type, n // 50 AS batch, CAST(sum(user_id) AS BIGINT) AS total FROM r WHERE n // 50 < all_n // 50 GROUP BY ALL
+""")
+def q_stream_batch(spark, d):
+    lists = _drained(stateful.batches(_unbounded(spark, d), 50, "event_type", "event_id", "user_id"))
+    return lists.select("event_type", "batch", F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
