@@ -116,3 +116,10 @@ def test_jobs_and_env(spark):
     job.result()
     assert try_join(job)["ok"] == 7
     assert env("TIDEPIPE_NO_SUCH")["err"] == "undefined environment variable" and env("TIDEPIPE_NO_SUCH", "d") == "d"
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    events = Stream.of(spark.read.parquet("/root/testdata/sf0.001/events.parquet"), "event_id")
+    got = events.filter(lambda e: (e["event_type"] == "click") & (e["value"] > 7)).map(lambda e: e["value"] * 2)
+    plan = got.records()._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(event_type,click)" in plan and "GreaterThan(value,7.0)" in plan and "props" not in plan.split("ReadSchema")[1]

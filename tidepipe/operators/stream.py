@@ -79,7 +79,7 @@ class Stream:
         """Null is false; a condition that is not boolean is true where it is not null."""
         kept = p(F.col("value"))
         boolean = isinstance(self.df.select(kept).schema[0].dataType, T.BooleanType)
-        return self._with(self.df.where(F.coalesce(kept, F.lit(False)) if boolean else kept.isNotNull()))
+        return self._with(self.df.where(kept if boolean else kept.isNotNull()))
 
     def filter_map(self, f: Fn) -> Stream:
         """Keeps what is not null; of Options, what is there."""
