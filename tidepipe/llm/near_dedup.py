@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_RUN, materialize, text_or_empty
+from .common import WHITE_RUN, materialize, shuffle_partitions, text_or_empty
 from .textbatch import MIX_A, PrefixHash, mix, powers, text_chunks, words
 
 SHINGLE_WORDS, SKETCHES, TAKEN, SIMILARITY = 5, 16, 3, 0.8
+#: Members of a bucket that one side of a tile holds on average, and items that it multiplies at a time.
+BLOCK, COLUMNS = 256, 4096
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64))
 PLACE = powers(0xD6E8FEB86659FD93, max(SHINGLE_WORDS, TAKEN) + 1)
 
@@ -128,17 +130,92 @@ def pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["node"], pa.array(packed, pa.binary())], names=["node", "words"])
 
 
+def unpack_items(packed: pa.BinaryScalar) -> np.ndarray:
+    return items_of(mix(np.frombuffer(packed.as_buffer(), dtype="<u4").astype(np.uint64) + np.uint64(1)))
+
+
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = lambda b: items_of(mix(np.frombuffer(b.as_buffer(), dtype="<u4").astype(np.uint64) + np.uint64(1)))
     for batch in batches:
         linked, last, items = [], None, None
         for a, wa, wb in zip(batch["a"].to_pylist(), batch["wa"], batch["wb"], strict=True):
             if a != last:
-                last, items = a, unpack(wa)
-            linked.append(similarity(items, unpack(wb)) >= SIMILARITY)
+                last, items = a, unpack_items(wa)
+            linked.append(similarity(items, unpack_items(wb)) >= SIMILARITY)
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
+def overlaps(items: list[np.ndarray]) -> np.ndarray:
+    """How many items each two sequences share, by products of blocks of an incidence matrix."""
+    m = len(items)
+    at = np.repeat(np.arange(m), [len(x) for x in items])
+    values = np.concatenate(items) if m else np.zeros(0, np.uint64)
+    order = np.argsort(values, kind="stable")
+    values, at = values[order], at[order]
+    column = np.cumsum(np.concatenate([[0], values[1:] != values[:-1]])) if len(values) else values.astype(np.int64)
+    out = np.zeros((m, m), dtype=np.float32)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [c, c + COLUMNS])
+        part = np.zeros((m, COLUMNS), dtype=np.float32)
+        part[at[lo:hi], column[lo:hi] - c] = 1
+        out += part @ part.T
+    return out
+
+
+def links_in_tile(nodes: list[int], roots: list[int], blocks: list[int], items: list[np.ndarray], across: bool) -> list[tuple[int, int]]:
+    """Links between different components, as few as join what is linked; ``across``: between the two blocks only.
+
+    Shared items bound a common subsequence from above, so only pairs that share
+    enough are aligned, those that share most first.
+    """
+    above = {r: r for r in roots}
+
+    def find(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    size = np.array([len(x) for x in items])
+    share = overlaps(items)
+    both = size[:, None] + size[None, :]
+    ratio = share / np.maximum(both - share, 1)
+    ratio[both == 0] = 1
+    _, root = np.unique(np.array(roots), return_inverse=True)
+    could = np.triu(ratio >= SIMILARITY - 1e-6, 1) & (root[:, None] != root[None, :])
+    if across:
+        block = np.array(blocks)
+        could &= block[:, None] != block[None, :]
+    i, j = np.nonzero(could)
+    found = []
+    for k in np.argsort(-ratio[i, j], kind="stable"):
+        a, b = int(i[k]), int(j[k])
+        x, y = find(roots[a]), find(roots[b])
+        if x != y and similarity(items[a], items[b]) >= SIMILARITY:
+            above[max(x, y)] = min(x, y)
+            found.append((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
+    return found
+
+
+def compare_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by tile, a tile at a time; a tile holds two blocks at most."""
+    key, rows = None, []
+
+    def done() -> pa.RecordBatch:
+        found = links_in_tile([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], key[1] != key[2]) if len(rows) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        columns = [batch[c].to_pylist() for c in ("bucket", "x", "y", "node", "root", "block")]
+        for bucket, x, y, node, root, block, packed in zip(*columns, batch["words"], strict=True):
+            if key != (bucket, x, y):
+                if rows:
+                    yield done()
+                key, rows = (bucket, x, y), []
+            rows.append((node, root, block, unpack_items(packed)))
+    if rows:
+        yield done()
+
+
 def components(links: DataFrame, nodes_col: tuple[str, str] = ("a", "b")) -> DataFrame:
     """``node, root`` for every node of a link, root the smallest node of its component.
 
@@ -162,19 +239,20 @@ def components(links: DataFrame, nodes_col: tuple[str, str] = ("a", "b")) -> Dat
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
-    """One row per input row: ``doc_id, class_id, class_size, kept, links``.
+    """One row per input row: ``doc_id, class_id, class_size, kept``.
 
     A class is a component of the links; its id is its smallest doc_id, and the
-    row that carries it is the one kept. ``links`` counts the different texts that
-    were found linked to this one's text.
+    row that carries it is the one kept.
 
     Texts of the same words are one node, whatever their white space. Nodes that
     share a sketch form a bucket. A bucket never becomes pairs: its most central
     node (the one whose buckets are the fullest, which is where copies of one
-    original meet) leads it and every member is aligned with the leader. Members
-    without a link to their leader go on to the next round, in which the bucket
-    has four times as many leaders among them, until every member is linked to a
-    leader or has been compared with all that are left.
+    original meet) leads it and every member is aligned with the leader. Buckets
+    whose members that leaves in several components are compared whole, by tiles of
+    bounded blocks: a product of incidence matrices says which pairs share enough
+    items to be linked, and only links between different components leave a tile.
+
+    ``docs`` must give the same rows when read twice, as a table does.
 
     Null text counts as empty; empty texts are one class. Texts of under five
     words are linked only if their words are equal. A null id sorts last in its
@@ -195,60 +273,55 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     )
     links = materialize(find_links(shaped, nodes), "found")
     roots = components(links)
-    counts = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links"))
-    placed = nodes.select("node", "digest", "least", "copies").join(roots, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = nodes.select("node", "digest", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = placed.groupBy("root").agg(F.min("least").alias("first"), F.sum("copies").alias("class_size"))
-    by_text = placed.join(classes, "root").select("digest", "first", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
+    by_text = placed.join(classes, "root").select("digest", "first", "class_size")
     return sketched.select("doc_id", "row", "digest").join(by_text, "digest").select(
         "doc_id",
         F.col("first.doc_id").alias("class_id"),
         "class_size",
         (F.col("row") == F.col("first.row")).alias("kept"),
-        "links",
         *([F.col("row").alias(row_col)] if row_col else []),
     )
 
 
 def find_links(shaped: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The verified links (a, b) of nodes, a < b."""
-    spark = shaped.sparkSession
+    """Verified links (a, b) of nodes, a < b, that join all nodes of a class.
+
+    First every member of a bucket is aligned with the bucket's leader. A bucket
+    whose members are then in one component, or that has only the two, is done. In
+    the others the members are compared by tiles, of which only links between
+    different components come out.
+    """
     rows = nodes.select("node", F.explode("sketch").alias("bucket"))
     full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = rows.join(full, "bucket")
     central = members.groupBy("node").agg(F.sum("members").alias("central"))
-    members = materialize(members.drop("members").join(central, "node"), "members")
-    wanted = central.select("node").join(nodes.select("node", "digest", F.col("least.doc_id").alias("doc_id"), F.col("least.row").alias("row")), "node")
-    texts = shaped.select("digest", "row", "t").join(wanted.select("node", "digest", "row"), ["digest", "row"]).select("node", "t")
+    members = materialize(members.join(central, "node"), "members")
+    wanted = members.select("node").distinct().join(nodes.select("node", "digest", F.col("least.row").alias("row")), "node")
+    texts = shaped.select("digest", "row", "t").join(wanted, ["digest", "row"]).select("node", "t")
     texts = materialize(texts.mapInArrow(pack_words, "node long, words binary"), "words")
 
-    found = None
-    checked = None
-    unresolved, leaders = members, 1
-    while unresolved.take(1):
-        best = F.max(F.struct("central", (-F.col("node")).alias("minus"))).alias("best")
-        part = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders)).alias("part")
-        lead = unresolved.groupBy("bucket", part).agg(best).select("bucket", (-F.col("best.minus")).alias("a"))
-        pairs = lead.join(unresolved.select("bucket", F.col("node").alias("b")), "bucket").where("a != b")
-        distinct = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if checked is not None:
-            distinct = distinct.join(checked, ["a", "b"], "left_anti")
-        sides = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab"]
-        sized = distinct.join(sides[0], "a").join(sides[1], "b").where(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9)
-        both = sized.select("a", "b").join(texts.toDF("b", "wb"), "b").join(texts.toDF("a", "wa"), "a")
-        judged = materialize(both.mapInArrow(verify, "a long, b long, linked boolean"), "judged")
-        checked = judged.select("a", "b") if checked is None else checked.union(judged.select("a", "b"))
-        good = judged.where("linked").select("a", "b")
-        found = good if found is None else found.union(good)
-        # A member goes on unless it leads its bucket or is linked to one of its leaders.
-        done = lead.select("bucket", F.col("a").alias("node")).union(
-            pairs.select("bucket", "a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).join(found.toDF("x", "y"), ["x", "y"]).select("bucket", F.col("b").alias("node"))
-        )
-        rest = unresolved.join(done.distinct(), ["bucket", "node"], "left_anti")
-        # Alone in its bucket a member has nobody left to meet.
-        several = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("rest")).where("rest > 1").select("bucket")
-        unresolved = materialize(rest.join(several, "bucket").select("node", "bucket", "central"), "unresolved")
-        leaders *= 4
-    return found.distinct() if found is not None else spark.createDataFrame([], "a long, b long")
+    best = F.max(F.struct("central", (-F.col("node")).alias("minus"))).alias("best")
+    lead = members.groupBy("bucket").agg(best).select("bucket", (-F.col("best.minus")).alias("a"))
+    pairs = lead.join(members.select("bucket", F.col("node").alias("b")), "bucket").where("a != b").select("a", "b").distinct()
+    sides = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab"]
+    sized = pairs.join(sides[0], "a").join(sides[1], "b").where(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9)
+    both = sized.select("a", "b").join(texts.toDF("b", "wb"), "b").join(texts.toDF("a", "wa"), "a")
+    led = materialize(both.mapInArrow(verify, "a long, b long, linked boolean").where("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "led")
+    roots = components(led)
+
+    # Buckets that still hold several components; of buckets with the same members, one.
+    placed = members.where("members > 2").select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"), F.min("node").alias("first"))
+    mixed = mixed.where("low != high").groupBy("members", "who", "first").agg(F.min("bucket").alias("bucket"))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    split = placed.join(mixed.select("bucket", "members"), "bucket").select("bucket", "node", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    tiles = split.select("bucket", "node", "root", "block", other).select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "root")
+    tiles = tiles.join(texts, "node").repartition(shuffle_partitions(shaped.sparkSession), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "node")
+    more = tiles.mapInArrow(compare_tiles, "a long, b long")
+    return led.union(more).distinct()
 
 
 def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
