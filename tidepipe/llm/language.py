@@ -26,6 +26,8 @@ BUCKETS = 1 << 16
 STRENGTH = 20.0
 #: A document is rejected when its best posterior is lower, or when more of its trigrams are unknown.
 LEAST_POSTERIOR, MOST_UNKNOWN = 0.6, 0.5
+#: Added to the number of trigrams, so that a few words are not rejected for being rare.
+FEW = 5
 
 
 def trigrams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -88,8 +90,8 @@ def identify_language(
 
     The trigram model is fitted on a sample by hash of the rows that declare a
     language, nine tenths of ``training_rows`` each so that chance stays below it; priors and the reliability of declarations are counted over all
-    rows. A row is rejected if its text has no trigram of letters, if over half of
-    its trigrams are unknown to every language, or if the best posterior is low.
+    rows. A row is rejected if its text has no letter, if over half of its trigrams
+    are unknown to every language, or if the best posterior is low.
 
     Null text counts as empty: no evidence from the text, ``lang`` is what the
     other evidence says and the row is rejected. A null or unheard-of declaration,
@@ -121,7 +123,7 @@ def identify_language(
                 own = sums[bounds[1:]] - sums[bounds[:-1]]
                 likely[row : row + len(own)] = own[:, :n_lang]
                 count = np.diff(bounds)
-                unknown[row : row + len(own)] = np.where(count > 0, own[:, n_lang] / np.maximum(count, 1), 1.0)
+                unknown[row : row + len(own)] = own[:, n_lang] / (count + FEW)
             letters = pc.match_substring_regex(batch["t"], r"\pL").fill_null(False).to_numpy(zero_copy_only=False)
             best = likely.argmax(axis=1)
             out = [batch[c] for c in ("doc_id", "row", "declared", "host", "suffix")]
