@@ -2,40 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Java and RE2 spelling of one run of ASCII white space.
-WHITE_RUN = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+from ..plans.staging import staged as materialize
 
-    A cluster names it. Where it is unset (tests on one machine) a local one is
-    made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidepipe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+__all__ = ["WHITE_RUN", "materialize", "shuffle_partitions", "table", "text_or_empty"]
 
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    It cuts the lineage: what follows reads files, so a lost executor costs a
-    re-read and not a second run, and values such as generated row numbers are
-    fixed. The files stay in the shared folder, whose retention the cluster sets.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidepipe/{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Java and RE2 spelling of one run of ASCII white space.
+WHITE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def text_or_empty(col: str = "text") -> Column:
