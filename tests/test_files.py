@@ -1,6 +1,6 @@
 import gzip
-import http.server
 import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidepipe.operators.stream import Stream
 from tidepipe.sinks.writers import show, sink
 from tidepipe.sources import readers
+from tidepipe.sources.http import http
 
 from tidepipe.sources.stores import azure_conf, gs_conf, s3_conf
 
@@ -106,23 +107,17 @@ def test_show():
 
 
 def test_http(spark):
-    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), http_server_handler())
+    server = ThreadingHTTPServer(("127.0.0.1", 0), http_server_handler())
     threading.Thread(target=server.serve_forever, daemon=True).start()
     url = f"http://127.0.0.1:{server.server_port}/a"
-    assert http_lines(spark, url) == ["{\"k\": 1}", "bad", "last"]
+    assert http(spark, url).collect() == ['{"k": 1}', "bad", "last"]
     got = readers.source(spark, url, "jsonl", schema="k int").collect()
     assert [(r["is_ok"], r["err"] and r["err"]["line"]) for r in got] == [(True, None), (False, 2), (False, 3)]
     server.shutdown()
 
 
-def http_lines(spark, url):
-    from tidepipe.sources.http import http as read
-
-    return read(spark, url).collect()
-
-
 def http_server_handler():
-    class Handler(http.server.BaseHTTPRequestHandler):
+    class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
             body = b'{"k": 1}\nbad\r\nlast'
             self.send_response(200)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.numbering import COMBINING, laid_out, numbered, running
+from ..plans.numbering import COMBINING, numbered, running
 from ..plans.staging import staged
 
 Fn = Callable[[Column], Column]
@@ -294,11 +294,12 @@ class Stream:
 
     def tee(self, **branches: Callable[[Stream], Any]) -> dict[str, Any]:
         """Every branch sees all elements, computed once. A branch that returns a Column is an aggregate: all those run as one."""
-        results = {k: f(self) for k, f in branches.items() if not isinstance(f, Column)} if all(isinstance(f, Column) for f in branches.values()) else None
         aggregates = {k: f for k, f in branches.items() if isinstance(f, Column)}
-        if results is None:
+        pipes = {k: f for k, f in branches.items() if k not in aggregates}
+        results = {}
+        if pipes:
             once = self._with(staged(self.df, "tee"))
-            results = {k: f(once) for k, f in branches.items() if k not in aggregates}
+            results = {k: f(once) for k, f in pipes.items()}
         if aggregates:
             row = self.df.agg(*[c.alias(k) for k, c in aggregates.items()]).first()
             results |= {k: row[k] for k in aggregates}
@@ -315,5 +316,3 @@ class Stream:
         a, b = (s.indexed().df.withColumn("_o1", F.col("_o0")).withColumn("_o0", F.lit(i).cast("long")) for i, s in enumerate((self, other)))
         return Stream(a.unionByName(b), [("_o0", True), ("_o1", True)])
 
-
-__all__ = ["Stream", "laid_out"]
