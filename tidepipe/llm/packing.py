@@ -24,33 +24,97 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions, text_or_empty
 
-#: Words whose ids a worker remembers; beyond, it starts anew.
-WORDS_KEPT = 400_000
-#: The only characters at which ``str.split`` cuts and the tokenizer's ``\s`` does not.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Words whose ids a worker remembers; twice as many are held at most.
+WORDS_KEPT = 300_000
+#: Texts are tokenized together up to so many characters.
+TOGETHER = 1 << 19
+#: Where the shortcut does not begin: at the separators at which only ``str.split``
+#: cuts, and at what could be a special token.
+ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: The tokenizer parts a letter from the punctuation after it; apostrophes aside.
+LETTERS, MARKS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", "!-&(-/:-@\\[-`{-~"
+SEAM = re.compile(f"(?<=[{LETTERS}])(?=[{MARKS}])")
+#: Words that are one unit to the tokenizer, so that one token of theirs ends it.
+UNIT = re.compile(f"[{LETTERS}]+|[{MARKS}]+")
+WORD_END = "</w>"
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds:
-    """Ids by whole words: the tokenizer drops white space and never looks across it."""
+    """Ids of whole texts, word by word, as little-endian bytes.
+
+    The tokenizer lowers case, drops white space, never looks across it and never
+    joins a letter and the punctuation after it, so a text's ids are those of its
+    parts. Parts are remembered; new ones are encoded many at a time. Texts with
+    odd characters are encoded as they are.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            ends[i] = token.endswith(WORD_END)
+        self.ends = ends
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4") for e in found]
+
+    def learn(self, words: set[str]) -> None:
+        """Puts the ids of all ``words`` into ``known``."""
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > WORDS_KEPT:
+            self.older, self.known = self.known, {}
+            new = words
+        if self.older:  # walk the new words, not the many remembered ones
+            self.known |= {w: self.older[w] for w in new if w in self.older}
+        new = list(new.difference(self.known))
+        units = [w for w in new if UNIT.fullmatch(w)]
+        if units:
+            ids = self.encode([" ".join(units)])[0]
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(units):
+                raise AssertionError("the tokenizer does not end words as described")
+            data, begin = ids.tobytes(), 0
+            for w, stop in zip(units, (stops * 4).tolist(), strict=True):
+                self.known[w] = data[begin:stop]
+                begin = stop
+        rest = [w for w in new if w not in self.known]
+        for w, ids in zip(rest, self.encode(rest) if rest else [], strict=True):
+            self.known[w] = ids.tobytes()
+
+    @staticmethod
+    def parts(text: str) -> list[str] | None:
+        """The text's units, or none if it has characters beyond Latin-1 or odd ones."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return None if any(x in text for x in ODD) else SEAM.sub(" ", text.lower()).split()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        parts = [self.parts(t) for t in texts]
+        self.learn(set().union(*[p for p in parts if p]))
+        ids_of = self.known.__getitem__
+        return [self.encode([t])[0].tobytes() if p is None else b"".join(map(ids_of, p)) for t, p in zip(texts, parts, strict=True)]
+
 
-    def __call__(self, text: str) -> np.ndarray:
-        if ODD_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        words, known = text.split(), self.known
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) + len(new) > WORDS_KEPT:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
+def groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of about TOGETHER characters."""
+    first, held, size = 0, [], 0
+    for i, t in enumerate(texts):
+        held.append(t.as_py())
+        size += len(held[-1])
+        if size >= TOGETHER:
+            yield first, held
+            first, held, size = i + 1, [], 0
+    if held:
+        yield first, held
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -58,15 +122,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = WordIds(tokenizer)
-        end = np.array([end_id], dtype="<u4")
+        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for doc, row, text in zip(batch["doc_id"].to_pylist(), batch["row"].to_pylist(), batch["t"], strict=True):
-                ids = np.concatenate([ids_of(text.as_py()), end])
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    for column, value in zip(out, (doc, row, k, start, len(part), zlib.crc32(part.tobytes())), strict=True):
-                        column.append(value)
+            docs_, rows = batch["doc_id"].to_pylist(), batch["row"].to_pylist()
+            for first, texts in groups(batch["t"]):
+                for i, ids in enumerate(ids_of(texts), first):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        for column, value in zip(out, (docs_[i], rows[i], k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
