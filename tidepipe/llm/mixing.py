@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
 
-#: Documents that a shard holds on average.
-SHARD_DOCS = 4096
+#: Documents that a shard holds on average in a large corpus; in a small one shards
+#: are smaller, down to LEAST_DOCS, until there are SOME_SHARDS.
+SHARD_DOCS, LEAST_DOCS, SOME_SHARDS = 4096, 128, 512
 
 
 def word_count(text: Column) -> Column:
@@ -106,7 +107,8 @@ def mix_sources(
         ),
         "sizes",
     )
-    shards = max(1, sized.count() // SHARD_DOCS)
+    n = sized.count()
+    shards = max(1, n // SHARD_DOCS, min(n // LEAST_DOCS, SOME_SHARDS))
     sized = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", *([row_col] if row_col else [])), F.lit(shards)))
     shard_sizes = sized.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     sources = source_targets(shard_sizes.groupBy("source").agg(F.sum("shard_size").alias("source_size")), weights, share, repeats)
@@ -125,8 +127,10 @@ def mix_sources(
         .select("h.source", "h.shard", "s.source_size", "s.target", "s.block", "s.quota", F.ceil(F.col("h.shard_size") / F.col("s.block")).alias("blocks"))
     )
     plan = plan.withColumns({"blocks_all": F.sum("blocks").over(whole), "blocks_to": F.sum("blocks").over(to_here)})
-    # A quota beyond what the blocks hold would repeat a document too often.
-    quota = F.least(F.col("quota"), F.floor(F.col("blocks_all") * repeats).cast("long"))
+    # The last block of a shard is short, so the quota's words take a few blocks more;
+    # beyond what the blocks hold they would repeat a document too often.
+    needed = F.when(F.col("source_size") > 0, F.round(F.col("quota") * F.col("block") * F.col("blocks_all") / F.col("source_size"))).otherwise(F.lit(0))
+    quota = F.least(needed, F.floor(F.col("blocks_all") * repeats)).cast("long")
     up_to = lambda b: F.when(F.col("blocks_all") > 0, F.floor(b.cast("decimal(38,0)") * quota.cast("decimal(38,0)") / F.col("blocks_all"))).otherwise(F.lit(0)).cast("long")
     plan = plan.withColumn("shard_quota", up_to(F.col("blocks_to")) - up_to(F.col("blocks_to") - F.col("blocks")))
     plan = plan.withColumns(
