@@ -102,6 +102,12 @@ def test_stdout(people, capsys):
     assert capsys.readouterr().out == "30\n25\n"
 
 
+def test_stdin_and_show(spark, capsys):
+    s = readers.stdin(spark, ["a\n", "\n", "b"])
+    assert s.collect() == ["a", "", "b"] and s.show(1) is s
+    assert capsys.readouterr().out == "a\n"
+
+
 def test_show():
     assert show([1, None, True, 2.0, 1e10, {"a": [1.5]}]) == "[1, nil, true, 2.0, 10000000000.0, {a: [1.5]}]"
 

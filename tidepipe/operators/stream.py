@@ -235,6 +235,14 @@ class Stream:
     def collect(self) -> list:
         return [r["value"] for r in self.df.orderBy(*self.by()).select("value").collect()]
 
+    def show(self, n: int = 20) -> Stream:
+        """Prints the first n elements and goes on with the same stream."""
+        from ..sinks.writers import show
+
+        for x in self.take(n).collect():
+            print(show(x))
+        return self
+
     def each(self, f: Callable[[Any], None]) -> None:
         """For side effects, on the executors; the order of partitions is not defined."""
         self.df.select("value").foreachPartition(lambda rows: [f(r["value"]) for r in rows] and None)

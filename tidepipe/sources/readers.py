@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -116,8 +117,16 @@ def csv(spark: SparkSession, uri: str | list[str], sep: str = ",", multiline: bo
     return Stream(df.select(value.alias("value"), F.col("_metadata.file_path").alias("_o0"), F.col("_metadata.file_block_start").alias("_o1"), F.monotonically_increasing_id().alias("_o2")), FILE_ORDER)
 
 
+def stdin(spark: SparkSession, lines: Iterable[str] | None = None) -> Stream:
+    """The driver's standard input, a string a line: as small as what a person or a shell pipes in."""
+    rows = [(i, line.rstrip("\n").rstrip("\r")) for i, line in enumerate(sys.stdin if lines is None else lines)]
+    return Stream(spark.createDataFrame(rows, "_o0 long, value string"), [("_o0", True)])
+
+
 def source(spark: SparkSession, uri: str, fmt: str = "text", **options: Any) -> Stream:
-    """One of the readers by name: text, jsonl, json or csv."""
+    """One of the readers by name: text, jsonl, json or csv; ``stdin`` is the standard input."""
+    if uri == "stdin":
+        return stdin(spark)
     if uri.startswith(("http://", "https://")):
         from .http import http
 
