@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import os
-import re
 import sys
 from collections.abc import Callable, Iterable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json as J
@@ -74,8 +73,8 @@ def jsonl(spark: SparkSession, uri: str | list[str], schema: str | None = None,
     df = _lines(spark, uri)
     if lines:
         df = numbered(df, [F.col("_o0"), F.col("_o1"), F.col("_o2")])
-        first = F.min("_n").over(Window.partitionBy("_o0")) if not isinstance(uri, str) or re.search(r"[*?\[{]", uri) else F.lit(0)
-        df = df.withColumn("_line", (F.col("_n") - first + 1).cast("int"))
+        first = df.groupBy("_o0").agg(F.min("_n").alias("_first"))
+        df = df.join(first, "_o0").withColumn("_line", (F.col("_n") - F.col("_first") + 1).cast("int"))
     else:
         df = df.withColumn("_line", F.lit(None).cast("int"))
     df = df.where("trim(value) <> ''").withColumn("_r", J.decode(F.col("value"), schema))
