@@ -30,6 +30,7 @@ def test_main_text():
     assert main_text("<p>cut off in the mid&amp") == "cut off in the mid&"
     plain = "<body><div class=menu><a>x</a></div><div><p>" + "Long text of a page without an article. " * 5 + "</p><p>More of it, also long enough to count.</p></div><div class=footer>end</div></body>"
     assert main_text(plain).count("\n") == 1 and main_text(plain).endswith("count.")
+    assert main_text('<div class="page has-sidebar"><article><p>Kept text.</p><div id="postShare">Share</div></article></div>') == "Kept text."
     assert main_text("<article>" + "<p>word</p>" * 5000 + "</article>").count("word") == 5000
 
 

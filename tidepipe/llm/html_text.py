@@ -31,6 +31,8 @@ HOLDERS = set("article main".split())
 DROPPED_WORDS = set(
     "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pagination paywall popup promo promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
 )
+#: Words that make such a name one of the whole layout: "has-sidebar", "no-ads".
+LAYOUT_WORDS = set("has no with without".split())
 WORD = re.compile(r"[a-z]+", re.ASCII)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SIGMA, RADIUS = 1.0, 2
@@ -93,7 +95,8 @@ class Lines(HTMLParser):
         if tag in ("html", "body", *HOLDERS) and "comment" not in f"{attrs.get('class')} {attrs.get('id')}".lower():
             return False
         named = CAMEL.sub("-", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").lower()
-        return any(w in DROPPED_WORDS for w in WORD.findall(named))
+        words = set(WORD.findall(named))
+        return bool(words & DROPPED_WORDS) and not words & LAYOUT_WORDS
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
