@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import staged as materialize
 
-__all__ = ["WHITE_RUN", "materialize", "shuffle_partitions", "table", "text_or_empty"]
+__all__ = ["KEY", "WHITE_RUN", "content_key", "materialize", "shuffle_partitions", "table", "text_or_empty"]
 
 #: Java and RE2 spelling of one run of ASCII white space.
 WHITE_RUN = r"[\x20\x09-\x0D]+"
@@ -17,6 +17,15 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+#: Column in which stages carry the key of a row; dropped again.
+KEY = "__tidepipe_key"
+
+
+def content_key(doc_id: Column, *content: Column) -> Column:
+    """A row's key by its id and content, never null; rows alike in both share it."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), *content)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_RUN, materialize, shuffle_partitions, text_or_empty
+from .common import KEY, WHITE_RUN, content_key, materialize, shuffle_partitions, text_or_empty
 
 #: Runs that one merge takes: a round does three binomial steps (2 ** 3).
 FAN_IN_BITS = 3
 
 
-def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
+def normalised(text_col: str = "text") -> Column:
+    return F.regexp_replace(text_or_empty(text_col), WHITE_RUN, " ")
+
+
+def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after each run of ASCII white space is one
@@ -30,22 +34,20 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     Null text counts as empty, and empty texts are equal to one another. A null
     id sorts last, so it is kept only if the whole group has null ids. Rows that
-    repeat an id are told apart by a row number (``row_col``, a distinct long that
-    is then returned too, or one made here): exactly one row of a group has
+    repeat an id are told apart by a row number: exactly one row of a group has
     ``kept``. An empty table gives an empty result. Other columns are neither read
     nor kept.
     """
     spark = docs.sparkSession
     bits = max(3, (shuffle_partitions(spark) - 1).bit_length())
     nodes = 1 << bits
-    text = F.regexp_replace(text_or_empty(text_col), WHITE_RUN, " ")
     digests = materialize(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), *([row_col] if row_col else [])).select(
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("t")).select(
             "doc_id",
             F.unhex(F.sha2("t", 256)).alias("digest"),
             F.octet_length("t").alias("n_bytes"),
             F.xxhash64("t").alias("check"),
-            (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
+            F.monotonically_increasing_id().alias("row"),
             F.spark_partition_id().alias("node"),
         ),
         "digests",
@@ -77,16 +79,15 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         "group_size",
         (F.col("row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
-        *([F.col("row").alias(row_col)] if row_col else []),
     )
 
 
 def drop_exact_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the copies: same columns, one row for each distinct text.
 
-    Edge cases as in :func:`exact_dedup`.
+    Rows are found again by their id and digest, so nothing is copied and ``docs``
+    may be read in any order. Edge cases as in :func:`exact_dedup`.
     """
-    spare = "__tidepipe_row"
-    numbered = materialize(docs.withColumn(spare, F.monotonically_increasing_id()), "numbered")
-    kept = exact_dedup(numbered, text_col, id_col, spare).where("kept").select(spare)
-    return numbered.join(kept, spare, "left_semi").drop(spare)
+    kept = exact_dedup(docs, text_col, id_col).where("kept").select(content_key(F.col("doc_id"), F.col("text_sha256")).alias(KEY))
+    keyed = docs.withColumn(KEY, content_key(F.col(id_col), F.sha2(normalised(text_col), 256)))
+    return keyed.join(materialize(kept, "kept"), KEY, "left_semi").dropDuplicates([KEY]).drop(KEY)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import KEY, content_key, materialize, text_or_empty
 from .textbatch import text_chunks
 
 #: Most labelled rows of each language that the trigram model is fitted on.
@@ -104,7 +104,7 @@ def identify_language(
     lit_or = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
     plain = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        (F.col(row_col) if row_col else F.xxhash64(id_col, text_col)).alias("row"),
+        (F.col(row_col) if row_col else F.xxhash64(id_col, text_col)).cast("string").alias("row"),
         text_or_empty(text_col).alias("t"),
         F.lower(F.substring(lit_or(declared_col), 1, 2)).alias("declared"),
         lit_or(host_col).alias("host"),
@@ -130,7 +130,7 @@ def identify_language(
             out += [pa.array(list(likely), pa.list_(pa.float64())), pa.array(np.where(letters, unknown, 1.0)), pa.array(best, pa.int32())]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "row", "declared", "host", "suffix", "likely", "unknown", "text_best"])
 
-    weighed = materialize(plain.mapInArrow(weigh, "doc_id long, row long, declared string, host string, suffix string, likely array<double>, unknown double, text_best int"), "weighed")
+    weighed = materialize(plain.mapInArrow(weigh, "doc_id long, row string, declared string, host string, suffix string, likely array<double>, unknown double, text_best int"), "weighed")
     said = F.when(F.col("declared").isin(*languages), F.col("declared")).otherwise(F.when(F.col("declared").isNull(), F.lit("none")).otherwise(F.lit("other"))).alias("said")
     sure = weighed.where(F.col("unknown") <= MOST_UNKNOWN)
     counts = [F.count_if(F.col("text_best") == i).cast("double") for i in range(n_lang)]
@@ -187,8 +187,11 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, languages: tuple[str, ...] = ("de", "en", "es", "fr")) -> DataFrame:
-    """``docs`` without the rejected rows: same columns. Edge cases as in :func:`identify_language`."""
-    spare = "__tidepipe_row"
-    numbered = materialize(docs.withColumn(spare, F.monotonically_increasing_id()), "numbered")
-    kept = identify_language(numbered, languages, row_col=spare).where("accepted").select(spare)
-    return numbered.join(kept, spare, "left_semi").drop(spare)
+    """``docs`` without the rejected rows: same columns.
+
+    Rejected rows, mostly few, are found again by a key of their evidence; rows
+    alike in it have the same fate. Edge cases as in :func:`identify_language`.
+    """
+    keyed = docs.withColumn(KEY, content_key(F.col("doc_id"), F.xxhash64("text", "lang", "source").cast("string")))
+    rejected = identify_language(keyed, languages, row_col=KEY).where("NOT accepted").select(KEY).distinct()
+    return keyed.join(materialize(rejected, "rejected"), KEY, "left_anti").drop(KEY)

@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import KEY, content_key, materialize, text_or_empty
 
 #: Documents that a shard holds on average in a large corpus; in a small one shards
 #: are smaller, down to LEAST_DOCS, until there are SOME_SHARDS.
 SHARD_DOCS, LEAST_DOCS, SOME_SHARDS = 4096, 128, 512
+TIMES = "__tidepipe_times"
 
 
 def word_count(text: Column) -> Column:
@@ -163,10 +164,11 @@ def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     hash. Documents of no words stay once: they add nothing to any source. Edge
     cases as in :func:`mix_sources`.
     """
-    spare = "__tidepipe_row"
-    numbered = materialize(docs.withColumn(spare, F.monotonically_increasing_id()), "numbered")
-    mix = mix_sources(numbered, seed=seed, row_col=spare)
-    chance = F.pmod(F.xxhash64(F.lit(seed + 2), spare), F.lit(1 << 30)) / float(1 << 30)
+    keyed = docs.withColumn(KEY, content_key(F.col("doc_id"), F.xxhash64("text", "source").cast("string")))
+    mix = mix_sources(keyed, seed=seed, row_col=KEY)
+    chance = F.pmod(F.xxhash64(F.lit(seed + 2), KEY, "taken"), F.lit(1 << 30)) / float(1 << 30)
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + chance)).cast("int")
-    mix = mix.select(spare, times.alias("__tidepipe_times")).where("__tidepipe_times > 0")
-    return numbered.join(mix, spare).withColumn("__tidepipe_copy", F.explode(F.sequence(F.lit(1), F.col("__tidepipe_times")))).drop(spare, "__tidepipe_times", "__tidepipe_copy")
+    # Rows alike in id, text and source are taken together.
+    mix = mix.groupBy(KEY).agg(F.sum(times).alias(TIMES)).where(F.col(TIMES) > 0)
+    mixed = keyed.join(materialize(mix, "times"), KEY).dropDuplicates([KEY])
+    return mixed.withColumn("__tidepipe_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(TIMES)))).drop(KEY, TIMES, "__tidepipe_copy")

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_RUN, materialize, shuffle_partitions, text_or_empty
+from .common import KEY, WHITE_RUN, content_key, materialize, shuffle_partitions, text_or_empty
 from .textbatch import MIX_A, PrefixHash, mix, powers, text_chunks, words
 
 SHINGLE_WORDS, SKETCHES, TAKEN, SIMILARITY = 5, 16, 3, 0.8
@@ -238,7 +238,12 @@ def components(links: DataFrame, nodes_col: tuple[str, str] = ("a", "b")) -> Dat
             return roots
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
+def spaced(text_col: str = "text") -> Column:
+    """The words of a text, a space between them."""
+    return F.trim(F.regexp_replace(text_or_empty(text_col), WHITE_RUN, " "))
+
+
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: ``doc_id, class_id, class_size, kept``.
 
     A class is a component of the links; its id is its smallest doc_id, and the
@@ -252,20 +257,18 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     bounded blocks: a product of incidence matrices says which pairs share enough
     items to be linked, and only links between different components leave a tile.
 
-    ``docs`` must give the same rows when read twice, as a table does.
-
     Null text counts as empty; empty texts are one class. Texts of under five
     words are linked only if their words are equal. A null id sorts last in its
     class. Of rows that repeat an id one is kept. Extra columns are ignored. An
     empty table gives an empty result.
     """
-    text = F.regexp_replace(F.trim(F.regexp_replace(text_or_empty(text_col), WHITE_RUN, " ")), "^ | $", "")
-    shaped = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
-        text.alias("t"),
-    ).withColumn("digest", F.unhex(F.sha2("t", 256)))
-    sketched = materialize(shaped.mapInArrow(sketch_rows, "doc_id long, row long, digest binary, n long, sketch array<long>"), "sketches")
+    return classes_of(docs, text_col, id_col).select("doc_id", "class_id", "class_size", "kept")
+
+
+def classes_of(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """:func:`near_duplicates` with each row's digest."""
+    shaped = docs.select(F.col(id_col).cast("long").alias("doc_id"), spaced(text_col).alias("t")).withColumn("digest", F.unhex(F.sha2("t", 256)))
+    sketched = materialize(shaped.withColumn("row", F.monotonically_increasing_id()).mapInArrow(sketch_rows, "doc_id long, row long, digest binary, n long, sketch array<long>"), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     nodes = materialize(
         sketched.groupBy("digest").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()),
@@ -281,7 +284,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         F.col("first.doc_id").alias("class_id"),
         "class_size",
         (F.col("row") == F.col("first.row")).alias("kept"),
-        *([F.col("row").alias(row_col)] if row_col else []),
+        "digest",
     )
 
 
@@ -294,16 +297,19 @@ def find_links(shaped: DataFrame, nodes: DataFrame) -> DataFrame:
     different components come out.
     """
     rows = nodes.select("node", F.explode("sketch").alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    # Counts and leaders are written before rows meet them: a join of two plain
+    # shuffles is one that AQE can split where a bucket is hot.
+    full = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "full")
     members = rows.join(full, "bucket")
     central = members.groupBy("node").agg(F.sum("members").alias("central"))
     members = materialize(members.join(central, "node"), "members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "digest", F.col("least.row").alias("row")), "node")
-    texts = shaped.select("digest", "row", "t").join(wanted, ["digest", "row"]).select("node", "t")
+    wanted = members.select("node").distinct().join(nodes.select("node", "digest", content_key(F.col("least.doc_id")).alias("id")), "node")
+    # Rows that repeat an id and a text are one here.
+    texts = shaped.select("digest", content_key(F.col("doc_id")).alias("id"), "t").join(wanted, ["digest", "id"]).dropDuplicates(["digest", "id"]).select("node", "t")
     texts = materialize(texts.mapInArrow(pack_words, "node long, words binary"), "words")
 
     best = F.max(F.struct("central", (-F.col("node")).alias("minus"))).alias("best")
-    lead = members.groupBy("bucket").agg(best).select("bucket", (-F.col("best.minus")).alias("a"))
+    lead = materialize(members.groupBy("bucket").agg(best).select("bucket", (-F.col("best.minus")).alias("a")), "lead")
     pairs = lead.join(members.select("bucket", F.col("node").alias("b")), "bucket").where("a != b").select("a", "b").distinct()
     sides = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab"]
     sized = pairs.join(sides[0], "a").join(sides[1], "b").where(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9)
@@ -314,7 +320,7 @@ def find_links(shaped: DataFrame, nodes: DataFrame) -> DataFrame:
     # Buckets that still hold several components; of buckets with the same members, one.
     placed = members.where("members > 2").select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"), F.min("node").alias("first"))
-    mixed = mixed.where("low != high").groupBy("members", "who", "first").agg(F.min("bucket").alias("bucket"))
+    mixed = materialize(mixed.where("low != high").groupBy("members", "who", "first").agg(F.min("bucket").alias("bucket")), "mixed")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     split = placed.join(mixed.select("bucket", "members"), "bucket").select("bucket", "node", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -325,8 +331,10 @@ def find_links(shaped: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each class of near copies: same columns. Edge cases as in :func:`near_duplicates`."""
-    spare = "__tidepipe_row"
-    numbered = materialize(docs.withColumn(spare, F.monotonically_increasing_id()), "numbered")
-    kept = near_duplicates(numbered, text_col, id_col, spare).where("kept").select(spare)
-    return numbered.join(kept, spare, "left_semi").drop(spare)
+    """``docs`` with one document of each class of near copies: same columns.
+
+    Rows are found again by their id and digest. Edge cases as in :func:`near_duplicates`.
+    """
+    kept = classes_of(docs, text_col, id_col).where("kept").select(content_key(F.col("doc_id"), F.hex("digest")).alias(KEY))
+    keyed = docs.withColumn(KEY, content_key(F.col(id_col), F.upper(F.sha2(spaced(text_col), 256))))
+    return keyed.join(materialize(kept, "kept"), KEY, "left_semi").dropDuplicates([KEY]).drop(KEY)
