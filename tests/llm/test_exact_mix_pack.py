@@ -140,3 +140,19 @@ def test_pack_round_trip(spark):
         assert (g["offset"].to_numpy() == np.concatenate([[0], g["length"].cumsum().to_numpy()[:-1]])).all() and g["length"].sum() <= 2048
     assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 2048) + 1
     assert pack_documents(docs(spark, []), tokenizer_path()).collect() == []
+
+
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op6_nearest_neighbours"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    got = entry.queries()[name](spark, data)
+    result = con.execute(entry.oracle_sql()[name])
+    names = [c[0] for c in result.description]
+    assert sorted(repr([r[c] for c in names]) for r in got.collect()) == sorted(repr(list(r)) for r in result.fetchall())
