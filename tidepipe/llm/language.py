@@ -26,22 +26,30 @@ BUCKETS = 1 << 16
 STRENGTH = 20.0
 #: A document is rejected when its best posterior is lower, or when more of its trigrams are unknown.
 LEAST_POSTERIOR, MOST_UNKNOWN = 0.6, 0.5
+#: Texts that are lower-cased at a time.
+LOWERED = 1000
 #: Added to the number of trigrams, so that a few words are not rejected for being rare.
 FEW = 5
 
 
 def trigrams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, trigram buckets, bounds) of lower-case texts, chunk by chunk; trigrams cross no document."""
-    for row, data, offsets in text_chunks(pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))):
-        wide = data.astype(np.uint32)
-        grams = (wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]) if len(data) > 2 else np.zeros(0, np.uint32)
-        inside = np.ones(len(grams), dtype=bool)
-        for back in (1, 2):
-            edge = offsets[1:-1] - back
-            inside[edge[(edge >= 0) & (edge < len(inside))]] = False
-        bounds = np.concatenate([[0], np.cumsum(inside)])[np.minimum(offsets, len(inside))]
-        buckets = (grams[inside] * np.uint32(2654435761)) >> np.uint32(16)
-        yield row, buckets, bounds
+    for first in range(0, len(texts), LOWERED):
+        for row, data, offsets in text_chunks(pc.utf8_lower(texts.slice(first, LOWERED).fill_null(""))):
+            yield first + row, *trigrams_of(data, offsets)
+
+
+def trigrams_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(trigram buckets, bounds) of one chunk."""
+    wide = data.astype(np.uint32)
+    grams = (wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]) if len(data) > 2 else np.zeros(0, np.uint32)
+    inside = np.ones(len(grams), dtype=bool)
+    for back in (1, 2):
+        edge = offsets[1:-1] - back
+        inside[edge[(edge >= 0) & (edge < len(inside))]] = False
+    bounds = np.concatenate([[0], np.cumsum(inside)])[np.minimum(offsets, len(inside))]
+    buckets = (grams[inside] * np.uint32(2654435761)) >> np.uint32(16)
+    return buckets, bounds
 
 
 def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,8 @@
 """Whole texts as arrays of bytes and words, many documents at a time.
 
 The functions run inside tasks. A chunk is some documents' UTF-8 bytes end to
-end, of about a megabyte, so that the arrays made from it stay small; a longer
-document is a chunk of its own.
+end, of about a quarter of a megabyte, so that the arrays made from it stay small;
+a longer document is a chunk of its own.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: An odd base and its inverse modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
