@@ -33,7 +33,8 @@ def usable(vector: str) -> Column:
 
 def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(codes, scales, lengths of the coded vectors, lengths of what the codes miss)."""
-    scale = np.abs(v).max(axis=1) / 127
+    # Of vectors so short that the scale would underflow all codes are 0, and the bound is their length.
+    scale = np.maximum(np.abs(v).max(axis=1) / 127, np.finfo(np.float64).tiny)
     codes = np.rint(v / scale[:, None]).astype(np.int8)
     coded = codes * scale[:, None]
     return codes, scale, np.linalg.norm(coded, axis=1), np.linalg.norm(v - coded, axis=1)
