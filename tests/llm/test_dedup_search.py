@@ -204,8 +204,9 @@ def test_nearest_against_brute_force(spark):
     vectors = {i: rng.normal(size=16).astype(np.float32).tolist() for i in range(300)}
     vectors |= {301: None, 302: [0.0] * 16, 303: [float("nan")] * 16, 304: [1.0] * 8, 320: [2.0] * 8, 305: [None] + [1.0] * 15, 306: [float("inf")] * 16}
     vectors |= {400 + i: vectors[7] for i in range(30)}  # ties
+    vectors |= {440: [5e-324] * 16, 441: [5e-324] * 16}  # shorter than a scale of theirs
     rows = [(i, v, 0) for i, v in vectors.items()] + [(None, [1.0] * 16, 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("id", F.lit("clash"))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit("clash"))
     got = {}
     for r in nearest(df, F.col("vec_id") % 20 == 0, 20).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
