@@ -9,7 +9,7 @@ import pytest
 
 from tidepipe.llm.exact_dedup import drop_exact_copies, exact_dedup
 from tidepipe.llm.mixing import mix_documents, mix_sources, sainte_lague
-from tidepipe.llm.packing import WordIds, best_configuration, pack_documents, plan_sequences
+from tidepipe.llm.packing import WordIds, best_configuration, pack_documents, plan_sequences, solve
 from tidepipe.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
 
@@ -122,6 +122,19 @@ def test_configurations():
         assert dict(held) == counts and used <= 1.03 * lengths.sum() / 256 + 2
 
 
+def test_configurations_place_nearly_all_pieces():
+    rng = np.random.default_rng(7)
+    lengths = np.minimum(rng.lognormal(6, 0.7, 10000).astype(int) + 1, 2048)
+    counts = {int(a): int(b) for a, b in zip(*np.unique(lengths, return_counts=True))}
+    assert len(counts) > 1300
+    placed, rest, bound = solve(counts, 2048)
+    pieces = sum(k * times for config, times in placed.items() for _, k in config)
+    assert pieces >= 0.9 * len(lengths) and len({n for config in placed for n, _ in config}) >= 0.98 * len(counts)
+    assert sum(placed.values()) + sum(rest.values()) <= 1.001 * bound
+    placed, rest, bound = solve({1000: 1000, 1100: 1000}, 2048)
+    assert placed == {((1000, 2),): 500, ((1100, 1),): 1000} and not rest and bound == 1500
+
+
 def test_pack_round_trip(spark):
     rows = [(i, "Some words, and more! " * (i % 40), "s") for i in range(200)] + [(500, LONG, "s"), (None, None, None), (1, "x", "s"), (1, "x", "s")]
     got = pack_documents(docs(spark, rows).withColumn("length", F.lit("clash")), tokenizer_path()).toPandas()

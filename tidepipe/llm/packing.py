@@ -4,15 +4,17 @@ Documents become pieces of at most ``capacity`` tokens, and pieces are counted
 by length. A configuration is a multiset of lengths that fits one sequence. The
 linear program covers every length's count by configurations at the least
 number of sequences; multiplicative weights give its prices and an unbounded
-knapsack over the lengths gives the best configuration at those prices. The
+knapsack over the lengths gives the configurations of nearly the best price. The
 histogram has at most ``capacity`` bars however many documents there are, so
-this part is a small fixed piece of work on the driver. Rounding down leaves
-fewer pieces than there are configurations in use; they go by best fit.
+this part is a small fixed piece of work on the driver. Configurations are used
+whole times; what they leave goes by best fit. Where lengths are so
+uneven that the rounds end without a cover, that can be most pieces.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,6 +39,8 @@ SEAM = re.compile(f"(?<=[{LETTERS}])(?=[{MARKS}])")
 #: Words that are one unit to the tokenizer, so that one token of theirs ends it.
 UNIT = re.compile(f"[{LETTERS}]+|[{MARKS}]+")
 WORD_END = "</w>"
+#: How far a configuration's price may be below the best; the share of pieces that ends the rounds; the first step of the weights.
+NEAR, REST, STEP = (0.002, 0.01), 0.02, 0.4
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
@@ -139,88 +143,130 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
     return docs.mapInArrow(cut, PIECES)
 
 
-def best_configuration(prices: np.ndarray, lengths: list[int], capacity: int) -> dict[int, int]:
-    """The multiset of lengths of the highest price that fits: an unbounded knapsack.
+def best_values(prices: np.ndarray, capacity: int) -> np.ndarray:
+    """The highest price that fits into every room from 0 to ``capacity``: an unbounded knapsack.
 
-    A length enters as 1, 2, 4, ... copies at once, which make up any number.
-    ``chosen`` has for every such entry the capacities at which it is used.
+    ``prices`` has one entry a length from 0 on, minus infinity where there is none.
     """
     best = np.zeros(capacity + 1)
-    entries: list[tuple[int, int]] = []
-    chosen: list[np.ndarray] = []
-    for length, price in zip(lengths, prices, strict=True):
-        copies = 1
-        while copies * length <= capacity:
-            size = copies * length
-            better = best[: capacity + 1 - size] + price * copies
-            wins = better > best[size:]
-            np.maximum(best[size:], better, out=best[size:])
-            entries.append((length, copies))
-            chosen.append(wins)
-            copies *= 2
-    found: dict[int, int] = {}
-    c = capacity
-    for (length, copies), wins in zip(reversed(entries), reversed(chosen), strict=True):
-        size = length * copies
-        if c >= size and wins[c - size]:
-            found[length] = found.get(length, 0) + copies
-            c -= size
-    return found
-
-
-def plan_sequences(counts: dict[int, int], capacity: int, rounds: int = 120) -> list[tuple[int, dict[int, int]]]:
-    """(times, configuration) pairs that hold exactly ``counts`` pieces of each length.
-
-    Multiplicative weights: a length's weight falls with the share of its count
-    that configurations cover; every round the knapsack finds the configuration of
-    the highest price and it enters the solution a fraction of the times that its
-    scarcest length allows. The average of the rounds, scaled to the counts and
-    rounded down, is used. What is left over goes by best fit, a configuration at
-    a time: the longest piece left, then always the longest that still fits, as
-    often as the counts left allow.
-    """
-    left = {n: c for n, c in counts.items() if c > 0}
-    used: dict[tuple, int] = {}
+    for room in range(1, capacity + 1):
+        best[room] = max(best[room - 1], (prices[1 : room + 1] + best[room - 1 :: -1]).max())
+    return best
+
+
+def configuration(prices: np.ndarray, best: np.ndarray, left: np.ndarray, floor: float) -> dict[int, int]:
+    """A configuration of at least the price ``floor`` out of the pieces ``left``, longest first; empty if none is found."""
+    room, price, found = len(best) - 1, 0.0, {}
+    left = left.copy()
+    while True:
+        have = np.flatnonzero(left[: room + 1])
+        good = have[price + prices[have] + best[room - have] >= floor]
+        if not len(good):
+            return found if price >= floor else {}
+        n = int(good[-1])
+        found[n] = found.get(n, 0) + 1
+        left[n] -= 1
+        room -= n
+        price += prices[n]
+
+
+def best_configuration(prices: np.ndarray, lengths: list[int], capacity: int) -> dict[int, int]:
+    """The multiset of lengths of the highest price that fits."""
+    by_length = np.full(capacity + 1, -np.inf)
+    by_length[lengths] = prices
+    left = np.zeros(capacity + 1, dtype=np.int64)
+    left[lengths] = capacity // np.array(lengths)
+    best = best_values(by_length, capacity)
+    return configuration(by_length, best, left, best[capacity] * (1 - 1e-9))
+
+
+def cover(prices: np.ndarray, need: np.ndarray) -> tuple[dict[tuple, int], np.ndarray, float]:
+    """Configurations of nearly the best price and their times, the pieces they leave, and the best price.
 
-    def use(config: dict[int, int], times: int) -> None:
+    Of one knapsack many configurations are read off: the next is made of the
+    pieces still left, and the knapsack is solved again over those only when its
+    table finds none. The tolerances of NEAR are used one after the other.
+    """
+    capacity = len(need) - 1
+    left, used = need.copy(), {}
+    best = best_values(prices, capacity)
+    most, fresh = best[capacity], True
+    for near in NEAR:
+        while left.any():
+            config = configuration(prices, best, left, most * (1 - near))
+            if config:
+                times = min(int(left[n]) // k for n, k in config.items())
+                key = tuple(sorted(config.items(), reverse=True))
+                used[key] = used.get(key, 0) + times
+                for n, k in config.items():
+                    left[n] -= k * times
+                fresh = False
+            elif fresh:
+                break
+            else:
+                best, fresh = best_values(np.where(left > 0, prices, -np.inf), capacity), True
+    return used, left, float(most)
+
+
+def best_fit(left: dict[int, int], capacity: int) -> dict[tuple, int]:
+    """The longest piece left, then always the longest that still fits, as often as the counts left allow."""
+    left, used = {n: c for n, c in left.items() if c > 0}, {}
+    while left:
+        have, room, config = sorted(left), capacity, {}
+        while have and (i := bisect.bisect_right(have, room)):
+            n = have[i - 1]
+            config[n] = min(room // n, left[n])
+            room -= n * config[n]
+            del have[i - 1 :]
+        times = min(left[n] // k for n, k in config.items())
         key = tuple(sorted(config.items(), reverse=True))
         used[key] = used.get(key, 0) + times
         for n, k in config.items():
             left[n] -= k * times
             if not left[n]:
                 del left[n]
+    return used
+
 
-    if capacity in left:
-        use({capacity: 1}, left[capacity])
-    lengths = sorted(left, reverse=True)
-    need = np.array([left[n] for n in lengths], dtype=np.float64)
-    at = {n: i for i, n in enumerate(lengths)}
-    x: dict[tuple, float] = {}
-    covered = np.zeros(len(lengths))
+def solve(counts: dict[int, int], capacity: int, rounds: int = 24) -> tuple[dict[tuple, int], dict[tuple, int], int]:
+    """Times of the linear program's configurations, those of best fit for the rest, and a lower bound of the sequences.
+
+    Multiplicative weights: a length's price falls with the share of its count that
+    a round's configurations cover, by ever smaller steps. A round covers what it can
+    by whole times of configurations whose price is the best up to NEAR, so there is
+    nothing to round down; a cover of all pieces at the best price would be optimal.
+    All counts at their prices over the best price are a lower bound. Rounds
+    end when a cover leaves at most REST of the pieces or a plan meets the bound. The
+    plan of the fewest sequences is used, and best fit alone is one of the plans.
+    """
+    need = np.zeros(capacity + 1, dtype=np.int64)
+    for n, c in counts.items():
+        need[n] = c
+    lengths = np.flatnonzero(need)
+    plan: tuple[dict[tuple, int], dict[tuple, int]] = ({}, best_fit(counts, capacity))
+    total, fewest, bound = int(need.sum()), sum(plan[1].values()), 0
     log_weights = np.zeros(len(lengths))
-    for _ in range(rounds if lengths else 0):
+    for i in range(rounds if total else 0):
+        prices = np.full(capacity + 1, -np.inf)
         # A piece of twice the length is worth twice as much at even coverage.
-        prices = np.array(lengths) * np.exp(log_weights - log_weights.max())
-        config = best_configuration(prices, lengths, capacity)
-        take = min(need[at[n]] / k for n, k in config.items())
-        key = tuple(sorted(config.items(), reverse=True))
-        x[key] = x.get(key, 0.0) + take
-        for n, k in config.items():
-            covered[at[n]] += k * take
-            log_weights[at[n]] -= k * take / need[at[n]]
-    scale = 1 / max(1.0, float((covered / need).max(initial=0)))
-    for key, much in sorted(x.items(), key=lambda kv: (-sum(n * k for n, k in kv[0]), kv[0])):
-        times = min([int(much * scale + 1e-9), *(left.get(n, 0) // k for n, k in key)])
-        if times > 0:
-            use(dict(key), times)
-    while left:
-        have, room, config = sorted(left), capacity, {}
-        while have and (i := bisect.bisect_right(have, room)):
-            n = have[i - 1]
-            config[n] = min(room // n, left[n])
-            room -= n * config[n]
-            del have[i - 1 :]
-        use(config, min(left[n] // k for n, k in config.items()))
+        prices[lengths] = lengths * np.exp(log_weights - log_weights.max())
+        used, left, most = cover(prices, need)
+        bound = max(bound, math.ceil(float((need[lengths] * prices[lengths]).sum()) / most - 1e-6))
+        rest = best_fit({int(n): int(left[n]) for n in np.flatnonzero(left)}, capacity)
+        sequences = sum(used.values()) + sum(rest.values())
+        if sequences < fewest or (sequences == fewest and sum(used.values()) > sum(plan[0].values())):
+            plan, fewest = (used, rest), sequences
+        if fewest <= bound or left.sum() <= REST * total:
+            break
+        log_weights -= STEP / (1 + i) ** 0.7 * (need - left)[lengths] / need[lengths]
+    return *plan, bound
+
+
+def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """(times, configuration) pairs that hold exactly ``counts`` pieces of each length."""
+    used, rest, _ = solve(counts, capacity)
+    for key, times in rest.items():
+        used[key] = used.get(key, 0) + times
     return [(times, dict(key)) for key, times in sorted(used.items(), reverse=True)]
 
 
