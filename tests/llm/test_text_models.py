@@ -34,6 +34,22 @@ def test_main_text():
     assert main_text("<article>" + "<p>word</p>" * 5000 + "</article>").count("word") == 5000
 
 
+def test_all_lines_of_the_container():
+    body = "A long sentence of the article that goes on for a while and then on. " * 6
+    top = "<h1>Title</h1><div>By N. N.</div><ul><li>One</li><li>Two</li><li>Three</li></ul>"
+    end = '<p><a href="x">A line that is a link and nothing else</a></p><ul><li>a</li><li>b</li><li>c</li><li>d</li></ul>'
+    got = main_text(f"<body><div class=menu>m</div><div id=text>{top}<p>{body}</p><p>{body}</p>{end}</div></body>")
+    assert got.split("\n") == ["Title", "By N. N.", "One", "Two", "Three", body.strip(), body.strip(), "A line that is a link and nothing else", "a", "b", "c", "d"]
+
+
+def test_articles_side_by_side():
+    first, second = "First text of some length. " * 12, "Other text of some length. " * 12
+    cards = "".join(f'<article><a href="{i}">Read more on it</a></article>' for i in range(3))
+    got = main_text(f"<body><div><article><h2>A</h2><p>{first}</p></article><article><h2>B</h2><p>{second}</p></article></div><div>{cards}</div></body>")
+    assert got.split("\n") == ["A", first.strip(), "B", second.strip()]
+    assert main_text(f"<main><h1>T</h1><article><p>{first}</p></article><article><p>{second}</p></article></main>").split("\n") == ["T", first.strip(), second.strip()]
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE), (None, None, None), (1, "u", PAGE), (2, "v", "")]
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()

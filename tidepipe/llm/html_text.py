@@ -4,8 +4,9 @@ The standard library's parser streams events; block elements cut them into
 lines, each with its characters and tags. The ratios of characters to tags,
 smoothed by a Gaussian, are clustered by a threshold into content and rest. The
 cluster of the most text shows where the article is: its nearest container holds
-the article, and all its lines, short ones too, are the text. Lines inside parts
-that are not the article by their element, role or class never count.
+the article, and all its lines, short ones and links too, are the text. Of several
+articles side by side all with content are taken. Lines inside parts that are not
+the article by their element, role or class never count.
 """
 
 from __future__ import annotations
@@ -140,19 +141,19 @@ def main_text(html: str | None) -> str:
     for line, m in zip(lines, mass, strict=True):
         for n in line[2]:
             weight[n] = weight.get(n, 0.0) + m
-    total = mass.sum()
+    core = [i for i in range(len(lines)) if content[i] and lines[i][4] <= 0.8 * len(lines[i][0])]
+    above = {n: path[:k] for _, _, path, _, _ in lines for k, n in enumerate(path)}
     held = [n for n in parser.holders if weight.get(n, 0.0) > 0]
     if held:
-        # The article of the most text; the innermost of those that hold nearly as much.
-        most = max(weight[n] for n in held)
-        root = max(n for n in held if weight[n] >= 0.9 * most)
-        return "\n".join(t for t, _, path, drop, _ in lines if not drop and root in path)
-    inner = [n for n, w in weight.items() if w >= 0.9 * total]
-    root = max(inner, default=0)
-    links = lambda i: lines[i][4] > 0.8 * len(lines[i][0])
-    good = [i for i, line in enumerate(lines) if (not root or root in line[2]) and not line[3]]
-    core = [i for i in good if content[i] and not links(i)] or good
-    return "\n".join(lines[i][0] for i in good if core[0] - RADIUS <= i <= core[-1] + RADIUS and not links(i))
+        # The article of the most text; the innermost in it of those that hold nearly as much.
+        most = max(held, key=lambda n: weight[n])
+        root = max(n for n in held if most in (n, *above[n]) and weight[n] >= 0.9 * weight[most])
+        # The articles beside it whose lines are content are the page's text as well.
+        inside = {n for i in core for n in lines[i][2]}
+        roots = {root, *(n for n in held if n in inside and n not in above[root] and root not in above[n])}
+    else:
+        roots = {max((n for n, w in weight.items() if w >= 0.9 * mass.sum()), default=0)}
+    return "\n".join(t for t, _, path, drop, _ in lines if not drop and (0 in roots or not roots.isdisjoint(path)))
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
