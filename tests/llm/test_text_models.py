@@ -50,6 +50,12 @@ def test_articles_side_by_side():
     assert main_text(f"<main><h1>T</h1><article><p>{first}</p></article><article><p>{second}</p></article></main>").split("\n") == ["T", first.strip(), second.strip()]
 
 
+def test_unknown_marked_sections():
+    assert main_text("<article><p>a</p><![foo[x]]><p>b</p><![ x]><p>c</p><![if IE]><p>d</p><![endif]><![1>e</article>") == "a\nb\nc\nd\ne"
+    for cut_off in ("<p>a</p><![foo[x", "<p>a</p><![ x", "<p>a</p><!["):
+        assert main_text(cut_off).startswith("a")
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE), (None, None, None), (1, "u", PAGE), (2, "v", "")]
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()

@@ -111,6 +111,12 @@ class Lines(HTMLParser):
             if self.open[i][0] in HOLDERS or (self.open[i][1] and not tag in BLOCKS):
                 return  # a stray end tag does not reach out of an article
 
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a marked section of no known name: a bogus comment up to the next ">"
+            return self.parse_bogus_comment(i)
+
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
         if any(e == "a" for e, _, _ in self.open[-3:]):
