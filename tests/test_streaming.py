@@ -43,6 +43,14 @@ def test_scan_batches_and_distinct(spark, folder):
     assert run(stateful.distinct(stream, ["k"], "ts", "1 day"), "d").count() == 3
 
 
+def test_last_batches_are_the_rows_that_fill_no_list(spark, folder, tmp_path):
+    stream = sources.records(spark, folder, SCHEMA, max_files=1).where("k < 2 or id < 6")
+    query = stateful.batches(stream, 6, "k", "id", "v").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+    query.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    lists = spark.read.parquet(str(tmp_path / "out")).unionByName(stateful.last_batches(spark, str(tmp_path / "state"))).collect()
+    assert sorted((r["k"], r["batch"], len(r["values"])) for r in lists) == [(k, b, 6 if b < 3 else 2) for k in (0, 1) for b in range(4)] + [(2, 0, 2)]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t").mkdir()
     (tmp_path / "t/a.jsonl").write_text('{"a": 1}\n\nbad\n')

@@ -514,12 +514,13 @@ def _unbounded(spark: SparkSession, d: str) -> DataFrame:
     return streams.records(spark, f"{d}/events.parquet*", EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drained(df: DataFrame) -> DataFrame:
-    """What an append-mode stream writes until its input is used up."""
+def _drained(df: DataFrame, last: Callable[[SparkSession, str], DataFrame] | None = None) -> DataFrame:
+    """What an append-mode stream writes until its input is used up, and what ``last`` finds in its checkpoint then."""
     path = f"{shared_dir(df.sparkSession)}/tidepipe/{uuid.uuid4().hex}"
     run = df.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
     run.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out")
+    out = df.sparkSession.read.schema(df.schema).parquet(f"{path}/out")
+    return out.unionByName(last(df.sparkSession, f"{path}/state")) if last else out
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type = 'purchase'")
@@ -544,3 +545,12 @@ def q_stream_distinct(spark, d):
 def q_stream_batch(spark, d):
     lists = _drained(stateful.batches(_unbounded(spark, d), 50, "event_type", "event_id", "user_id"))
     return lists.select("event_type", "batch", F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("""
+    WITH r AS (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS n FROM events)
+    SELECT event_type, n // 50 AS batch, CAST(sum(user_id) AS BIGINT) AS total FROM r GROUP BY ALL
+""")
+def q_stream_batch_all(spark, d):
+    lists = _drained(stateful.batches(_unbounded(spark, d), 50, "event_type", "event_id", "user_id"), stateful.last_batches)
+    return lists.select("event_type", "batch", F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))

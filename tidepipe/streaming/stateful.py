@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -46,7 +46,10 @@ def scan(df: DataFrame, key: str, order: str, value: str, init: float, f: Callab
 
 
 def batches(df: DataFrame, n: int, key: str, order: str, value: str) -> DataFrame:
-    """Lists of n values for each key as they fill up: ``key, batch, values``. An unfilled list waits in the state."""
+    """Lists of n values for each key as they fill up: ``key, batch, values``.
+
+    An unfilled list waits in the state; ``last_batches`` gives it when the stream has ended.
+    """
     types = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -60,6 +63,13 @@ def batches(df: DataFrame, n: int, key: str, order: str, value: str) -> DataFram
     return df.groupBy(key).applyInPandasWithState(step, f"{key} {types[key]}, batch long, values array<{types[value]}>", f"done long, waiting array<{types[value]}>", "append", GroupStateTimeout.NoTimeout)
 
 
+def last_batches(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The unfilled last lists of a ``batches`` stream that has ended, from the state in its checkpoint: ``key, batch, values``."""
+    state = spark.read.format("statestore").load(checkpoint)
+    left = state.select("key.*", F.col("value.groupState.done").alias("batch"), F.col("value.groupState.waiting").alias("values"))
+    return left.where(F.size("values") > 0)
+
+
 def sort_by(df: DataFrame, *keys: Column) -> DataFrame:
     """Sorting needs all rows: allowed on aggregates in complete mode only, which Spark checks when the query starts."""
     return df.orderBy(*keys)
