@@ -1,4 +1,5 @@
 import gzip
+import json
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepipe.operators.stream import Stream
-from tidepipe.sinks.writers import show, sink
+from tidepipe.sinks.writers import pieces_of, show, sink
 from tidepipe.sources import readers
 from tidepipe.sources.http import http
 
@@ -147,3 +148,19 @@ def test_credentials(tmp_path, monkeypatch):
     assert s3_conf({"access_key": "k", "secret_key": "s"})["fs.s3a.access.key"] == "k"
     assert gs_conf({"key_file": "/k"})["fs.gs.auth.service.account.json.keyfile"] == "/k" and gs_conf({}) == {}
     assert list(azure_conf({"account": "a", "key": "k"}).values()) == ["k"]
+
+
+def test_one_document_is_written_as_its_elements_come(spark, tmp_path):
+    taken = []
+    pieces = pieces_of((taken.append(i) or {"a": i, "b": ["x\ny"], "c": {}} for i in range(1000)), "json")
+    assert next(pieces) + next(pieces) == '[{"a":0,"b":["x\\ny"],"c":{}}' and len(taken) == 1
+    for n, indent in ((0, 2), (1, 2), (3, 4), (2, 0)):
+        values = [{"a": i, "b": ["x\ny"], "c": {}, "d": []} for i in range(n)]
+        assert "".join(pieces_of(iter(values), "json_pretty", indent=indent)) == json.dumps(values, indent=indent) + "\n"
+        assert json.loads("".join(pieces_of(iter(values), "json"))) == values
+    numbers = Stream.of(spark.range(1000).repartition(5), "id")
+    sink(numbers.map(lambda r: F.struct(r["id"].alias("i"), F.lit("é").alias("name"))), str(tmp_path / "t"), "table")
+    lines = (tmp_path / "t").read_text().split("\n")
+    assert lines[0] == "i    name" and lines[1] == "0    é" and lines[1000] == "999  é" and len(lines) == 1002
+    sink(numbers.filter(lambda r: r["id"] < 0), str(tmp_path / "e"), "table")
+    assert (tmp_path / "e").read_text() == ""

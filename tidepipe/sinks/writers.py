@@ -1,7 +1,8 @@
 """Sinks. Folders of part files by default, written in parallel; ``single`` gives one file in order.
 
 A single file goes through the driver row by row (``toLocalIterator``), as small
-reports do; its table and Markdown forms look at all rows for their widths.
+reports do, and so do the forms that are one document: JSON, tables and Markdown.
+No form is held as a whole; tasks find the widths of tables first.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import sys
 from collections.abc import Iterable, Iterator
 from typing import Any
 
-from pyspark.sql import Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,41 +77,63 @@ def _cell(x: Any) -> str:
     return "" if x is None else show(x)
 
 
-def lines_of(values: Iterable[Any], fmt: str, header: bool = True, delimiter: str = ",", indent: int = 2) -> Iterator[str]:
-    """The lines of a sink; the first element gives the columns of tabular forms."""
+def widths(df: DataFrame, fmt: str, header: bool) -> list[int]:
+    """The widest cell of each column in bytes: found in the tasks, a row of widths from each part."""
+    least = 3 if fmt == "markdown" else 0
+    first = next(_rows(r["value"] for r in df.take(1)), {})
+    names = list(first)
+    titles = [max(least, len(n.encode()) if header or fmt == "markdown" else 0) for n in names]
+
+    def widest(rows: Iterator[Row]) -> Iterator[list[int]]:
+        width = titles
+        for row in _rows(r["value"] for r in rows):
+            width = [max(w, len(_cell(row.get(n)).encode())) for w, n in zip(width, names, strict=True)]
+        yield width
+
+    return df.select("value").rdd.mapPartitions(widest).reduce(lambda a, b: [max(x) for x in zip(a, b, strict=True)]) if names else []
+
+
+def pieces_of(values: Iterable[Any], fmt: str, header: bool = True, delimiter: str = ",", indent: int = 2, width: list[int] | None = None) -> Iterator[str]:
+    """The text of a sink as it comes, an element at a time; the first element gives the columns of tabular forms."""
+    if fmt == "json":
+        yield "["
+        for k, v in enumerate(values):
+            yield ("," if k else "") + encode(v)
+        yield "]\n"
+    elif fmt == "json_pretty":
+        k, pad = -1, "\n" + " " * indent
+        for k, v in enumerate(values):  # a string's own line ends are escaped
+            yield ("," if k else "[") + pad + encode(v, indent).replace("\n", pad)
+        yield "[]\n" if k < 0 else "\n]\n"
+    else:
+        yield from (line + "\n" for line in lines_of(values, fmt, header, delimiter, width or []))
+
+
+def lines_of(values: Iterable[Any], fmt: str, header: bool, delimiter: str, width: list[int]) -> Iterator[str]:
     if fmt == "text":
         yield from (show(v) for v in values)
     elif fmt == "jsonl":
         for v in values:
             yield from (encode(x) for x in (v if isinstance(v, list) else [v]))
-    elif fmt == "json":
-        yield "[" + ",".join(encode(v) for v in values) + "]"
-    elif fmt == "json_pretty":
-        yield from json.dumps([plain(v) for v in values], ensure_ascii=False, indent=indent).split("\n")
-    elif fmt in ("csv", "tsv"):
+    else:
         names: list[str] | None = None
         for row in _rows(values):
             if names is None:
                 names = list(row)
-                if header:
-                    yield _joined(names, fmt, delimiter)
-            yield _joined([_cell(row.get(n)) for n in names], fmt, delimiter)
-    else:
-        rows = list(_rows(values))
-        names = list(rows[0]) if rows else []
-        cells = [names, *[[_cell(r.get(n)) for n in names] for r in rows]] if header or fmt == "markdown" else [[_cell(r.get(n)) for n in names] for r in rows]
-        if not names:
-            return
-        size = lambda s: len(s.encode())
-        width = [max([3 if fmt == "markdown" else 0, *(size(c[i]) for c in cells)]) for i in range(len(names))]
-        pad = lambda c: [s + " " * (w - size(s)) for s, w in zip(c, width, strict=True)]
-        for k, c in enumerate(cells):
-            if fmt == "table":
-                yield "  ".join(pad(c)).rstrip()
-            else:
-                yield "| " + " | ".join(pad(c)) + " |"
-                if k == 0:
-                    yield "| " + " | ".join("-" * w for w in width) + " |"
+                if fmt in ("table", "markdown") and not names:
+                    return
+                if header or fmt == "markdown":
+                    yield _laid(names, fmt, delimiter, width)
+                if fmt == "markdown":
+                    yield _laid(["-" * w for w in width], fmt, delimiter, width)
+            yield _laid([_cell(row.get(n)) for n in names], fmt, delimiter, width)
+
+
+def _laid(cells: list[str], fmt: str, delimiter: str, width: list[int]) -> str:
+    if fmt in ("csv", "tsv"):
+        return _joined(cells, fmt, delimiter)
+    padded = [c + " " * (w - len(c.encode())) for c, w in zip(cells, width, strict=True)]
+    return "  ".join(padded).rstrip() if fmt == "table" else "| " + " | ".join(padded) + " |"
 
 
 def _joined(cells: list[str], fmt: str, delimiter: str) -> str:
@@ -127,8 +150,9 @@ def sink(stream: Stream, dest: str, fmt: str = "text", append: bool = False, hea
     if dest.startswith(("http://", "https://")):
         raise ValueError("HTTP sink not supported")
     if single or dest in ("stdout", "stderr") or fmt in ("json", "json_pretty", "table", "markdown"):
-        values = (r["value"] for r in stream.df.orderBy(*stream.by()).select("value").toLocalIterator())
-        text = (line + "\n" for line in lines_of(values, fmt, header, delimiter, indent))
+        ordered = stream.df.orderBy(*stream.by()).select("value")
+        width = widths(ordered, fmt, header) if fmt in ("table", "markdown") else None
+        text = pieces_of((r["value"] for r in ordered.toLocalIterator()), fmt, header, delimiter, indent, width)
         if dest in ("stdout", "stderr"):
             getattr(sys, dest).writelines(text)
             return
