@@ -144,6 +144,15 @@ def test_language_held_out_and_edges(spark):
     assert keep_identified(odd).columns == odd.columns and identify_language(odd.limit(0)).collect() == []
 
 
+def test_languages_of_few_rows(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", "source")
+    few = docs.where("lang = 'en'").orderBy("doc_id").limit(2)
+    assert all(r.accepted and r.lang == "en" for r in identify_language(few).collect())
+    beside = docs.where("lang <> 'fr'").unionByName(docs.where("lang = 'fr'").orderBy("doc_id").limit(1))
+    got = [r for r in identify_language(beside).join(docs.where("lang = 'fr'").select("doc_id"), "doc_id").collect()]
+    assert len(got) == 1 and got[0].unknown < 0.5
+
+
 def test_page_evidence(spark):
     pages = spark.createDataFrame([(1, "https://www.a.example.net/fr/5?x", '<html lang="fr-CA"><p>le text</p>'), (2, None, None)], "page_id long, url string, html string")
     one, none = page_evidence(pages).collect()

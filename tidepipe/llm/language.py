@@ -69,18 +69,19 @@ def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def fit_trigrams(docs: DataFrame, languages: list[str], training_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(log likelihood of each bucket and language, whether a language knows the bucket: has it in three texts or more)."""
+    """(log likelihood of each bucket and language, whether a language knows the bucket: has it in a tenth of its texts, three at most)."""
     declared = F.col("declared")
     there = {r["declared"]: r["n"] for r in docs.where(declared.isin(*languages)).groupBy("declared").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.coalesce(*[F.when(declared == lang, F.lit(0.9 * training_rows / n if n > training_rows else 1.0)) for lang, n in there.items()], F.lit(0.0))
     chosen = F.pmod(F.xxhash64(F.lit(23), "row"), F.lit(1 << 30)) < share * float(1 << 30)
     rows = docs.where(declared.isin(*languages)).where(chosen).select("declared", "t").mapInArrow(count_trigrams, "declared string, bucket long, n long, texts long")
-    counts, texts = np.zeros((BUCKETS, len(languages))), np.zeros(BUCKETS)
+    counts, known = np.zeros((BUCKETS, len(languages))), np.zeros(BUCKETS, dtype=bool)
+    enough = {lang: min(3, -(-n // 10)) for lang, n in there.items()}
     for r in rows.groupBy("declared", "bucket").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).collect():  # at most BUCKETS a language
-        texts[r["bucket"]] = max(texts[r["bucket"]], r["texts"])
+        known[r["bucket"]] |= r["texts"] >= enough[r["declared"]]
         counts[r["bucket"], languages.index(r["declared"])] = r["n"]
     shares = (counts + 0.2) / (counts.sum(axis=0) + 0.2 * BUCKETS)
-    return np.log(shares).astype(np.float32), texts >= 3
+    return np.log(shares).astype(np.float32), known
 
 
 def identify_language(
