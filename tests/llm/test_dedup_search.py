@@ -218,3 +218,26 @@ def test_nearest_against_brute_force(spark):
         assert [n for _, n, _ in found] == [n for _, n in best] and [x for _, _, x in found] == pytest.approx([-x for x, _ in best])
     assert set(got) == {i for i in good if i % 20 == 0}
     assert nearest(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_nearest_of_large_and_of_alike_vectors(spark):
+    rng = np.random.default_rng(3)
+    huge = [(i, (rng.normal(size=4) * 1e160).tolist()) for i in range(60)]
+    got = nearest(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20).collect()
+    assert len(got) == 60 and {r["rank"] for r in got} == set(range(1, 21))
+    near = rng.normal(size=8)
+    close = [(i, (near + rng.normal(size=8) * 1e-3).tolist()) for i in range(400)] + [(400 + i, near.tolist()) for i in range(300)]
+    vectors = dict(close)
+    df = spark.createDataFrame(close, "vec_id long, embedding array<double>").repartition(7)
+    found = {}
+    for r in nearest(df, F.col("vec_id") % 20 == 0, 20).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q in [i for i in vectors if i % 20 == 0]:
+        best = sorted((-sum(x * y for x, y in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q)[:20]
+        assert [n for _, n in sorted(found[q])] == [n for _, n in best]
+
+
+def test_nearest_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 3.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 5).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 1, 0.5), (0, 2, 2, 0.0)]
