@@ -1,16 +1,23 @@
 """HTML text, URL rules, quality and language: fixtures, edge cases and held-out accuracy."""
 
 
+import re
+import time
+from collections import Counter
+from html import unescape
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tidepipe.llm.html_text import extract_pages, main_text
-from tidepipe.llm.language import identify_language, keep_identified, page_evidence
+from tidepipe.llm import html_text
+from tidepipe.llm.html_text import clusters, extract_pages, main_text
+from tidepipe.llm.language import identify_language, identify_pages, keep_identified, page_evidence
 from tidepipe.llm.quality import fit, quality_scores, score
-from tidepipe.llm.url_filter import filter_urls
+from tidepipe.llm.url_filter import UNWANTED, filter_urls, held_out_quality, own_labels
 
 DATA = "/root/testdata/sf0.001"
 
@@ -56,6 +63,54 @@ def test_unknown_marked_sections():
         assert main_text(cut_off).startswith("a")
 
 
+def pages_of(name):
+    return [r["html"] for r in pq.read_table(f"/root/testdata/{name}/pages.parquet", columns=["html"]).to_pylist()]
+
+
+def article_lines(html):
+    """The lines of the article of such a page, by cutting its markup apart: brute force."""
+    body = re.search(r"<article>(.*)</article>", html, re.S)[1]
+    blocks = re.split(r"</?(?:p|h1)\b[^>]*>", body)
+    lines = (" ".join(unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks)
+    return [x for x in lines if x]
+
+
+def test_pages_against_brute_force():
+    for html in pages_of("sf0.01"):
+        if html.count("<article") == 1 == html.count("</article"):
+            assert main_text(html).split("\n") == article_lines(html)
+
+
+def test_clusters_decide(monkeypatch):
+    pages = pages_of("sf0.01")
+    nameless = [re.sub(r"<(/?)(?:nav|article|footer|header|main|aside|section)\b", r"<\1div", h) for h in pages]
+    whole, plain = [main_text(h) for h in pages], [main_text(h) for h in nameless]
+    kept = other = all_ = given = 0
+    for a, b in zip(whole, plain, strict=True):
+        a, b = Counter(a.split("\n")), Counter(b.split("\n"))
+        kept, other, all_, given = kept + (a & b).total(), other + (b - a).total(), all_ + a.total(), given + b.total()
+    assert kept >= 0.99 * all_ and other <= 0.01 * given
+    monkeypatch.setattr(html_text, "clusters", lambda ratio: (ratio > 0) & ~clusters(ratio))
+    for pages_, right in ((pages, whole), (nameless, plain)):
+        assert np.mean([main_text(h) != t for h, t in zip(pages_, right, strict=True)]) > 0.95
+
+
+def test_names_that_only_contain_a_word():
+    text = "<p>" + "Long text of the article. " * 12 + "</p>"
+    assert main_text(f'<article>{text}<div class="share-price"><p>The share price rose.</p></div></article>').endswith("rose.")
+    for name in ("share-buttons", "postShare", "cookie-notice", "comments-area", "nav", "ad_slot", "related posts"):
+        assert main_text(f'<article>{text}<div class="{name}"><p>Not the text.</p></div></article>').endswith("article."), name
+
+
+def test_deep_nesting_takes_linear_time():
+    took = []
+    for depth in (5_000, 20_000):
+        began = time.process_time()
+        main_text("<div><b>" * depth + "<p>some text</p>" * depth + "</i>" * depth + "</div>" * depth)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 1
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE), (None, None, None), (1, "u", PAGE), (2, "v", "")]
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
@@ -92,6 +147,45 @@ def test_url_rules(spark):
     assert filter_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def test_verdicts_of_the_table(spark):
+    """Of the registered query: rules by a plain reading, other verdicts by the words that label hosts."""
+    pages = {r.page_id: r.url for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()}
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+    got = entry.queries()["op4_url_filter"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r.page_id for r in got) == sorted(pages)
+    agree = []
+    for r in got:
+        host, _, path = (pages[r.page_id] or "").partition("://")[2].partition("/")
+        host, path = host.lower(), "/" + re.split("[?#]", path)[0]
+        fit = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert (r.host, r.path) == (host, path) and r.rule == (max(fit)[1] if fit else None)
+        if fit:
+            assert r.verdict == max(fit)[2]
+        else:
+            agree.append((r.verdict == "block") == bool(set(re.split("[^a-z]+", host)) & set(UNWANTED)))
+    assert np.mean(agree) > 0.95
+
+
+def test_urls_of_hosts_never_seen(spark):
+    found = held_out_quality(own_labels(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")), fold=1)
+    assert found["unwanted"] > 20 and found["precision"] > 0.9 and found["recall"] > 0.9
+
+
+def test_very_long_urls(spark):
+    long = "http://a.org/fr/" + "x" * 1_000_000
+    labelled = spark.createDataFrame([(f"http://spam{i}.x.de/", 1) for i in range(20)] + [(f"http://fine{i}.y.de/{i}", 0) for i in range(20)], "url string, label int")
+    got = filter_urls(spark.createDataFrame([(1, long), (None, long)], "page_id long, url string"), labelled).collect()
+    assert {r.verdict for r in got} == {"allow"} and {len(r.path) for r in got} == {len(long) - 12}
+
+
+def test_quality_of_repeated_ids(spark):
+    rows = [(i, f"{'good plain words here ' * (1 + i % 3)} {k}" if i % 2 else f"@@ ## {i} !! {k}") for i in range(40) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    one, other = (sorted(quality_scores(d, labels).collect()) for d in (docs.repartition(2), docs.orderBy(F.desc("text")).repartition(7, "text")))
+    assert [tuple(r) for r in one] == [tuple(r) for r in other]
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality_scores(docs, labels).join(labels.select("doc_id", "quality"), "doc_id").where("held_out").collect()
@@ -163,6 +257,17 @@ def test_page_evidence(spark):
     assert np.mean([r.lang == r.declared for r in got]) > 0.95
 
 
+def test_language_of_pages(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = entry.queries()["pages_language_id"](spark, DATA).join(page_evidence(pages).select(F.col("doc_id").alias("page_id"), "declared"), "page_id").collect()
+    assert len(got) == pages.count() and np.mean([r.lang == r.declared for r in got]) > 0.95
+    # Nothing is declared and there is no text: suffix and host say it.
+    bare = pages.limit(150).select("page_id", "url", "html").unionByName(pages.limit(150).select(F.col("page_id") + 10**6, "url", F.lit(None).alias("html")).toDF("page_id", "url", "html"))
+    rows = {r.page_id: r.lang for r in identify_pages(bare).collect()}
+    assert np.mean([rows[i] == rows[i - 10**6] for i in rows if i >= 10**6]) > 0.8
+    assert identify_pages(pages.limit(0)).collect() == []
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEY, content_key, materialize, text_or_empty
+from .html_text import extract_pages
 from .textbatch import text_chunks
 
 #: Most labelled rows of each language that the trigram model is fitted on.
@@ -181,20 +182,27 @@ def identify_language(
 def page_evidence(pages: DataFrame) -> DataFrame:
     """``pages`` as documents: ``doc_id, text, declared, host, suffix`` from url and html.
 
-    The suffix is the host's last label and the path's first segment if that has
-    two letters. Null url and html give null evidence and an empty text.
+    The text is the page's main text, ``declared`` the language its html element
+    names, the suffix the host's last label and the path's first segment if that
+    has two letters. Null url and html give null evidence and an empty text.
     """
     host = F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1))
     segment = F.regexp_extract("url", r"://[^/?#]*/([a-z]{2})(?:[/?#]|$)", 1)
-    return pages.select(
+    return extract_pages(pages).select(
         F.col("page_id").alias("doc_id"),
-        F.coalesce(F.regexp_replace("html", r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " "), F.lit("")).alias("text"),
-        F.nullif(F.regexp_extract("html", r"""(?i)<html[^>]*\blang\s*=\s*["']?([A-Za-z]+)""", 1), F.lit("")).alias("declared"),
+        "text",
+        F.nullif(F.regexp_extract("markup_lang", "^[A-Za-z]+", 0), F.lit("")).alias("declared"),
         F.nullif(host, F.lit("")).alias("host"),
         F.concat_ws("/", F.nullif(F.element_at(F.split(host, r"\."), -1), F.lit("")), F.nullif(segment, F.lit(""))).alias("suffix"),
     )
 
 
+def identify_pages(pages: DataFrame, languages: tuple[str, ...] = ("de", "en", "es", "fr")) -> DataFrame:
+    """:func:`identify_language` of pages from all evidence: text, markup, address suffix and host. ``page_id`` instead of ``doc_id``."""
+    evidence = materialize(page_evidence(pages), "evidence")
+    return identify_language(evidence, languages, declared_col="declared", host_col="host", suffix_col="suffix").withColumnRenamed("doc_id", "page_id")
+
+
 def keep_identified(docs: DataFrame, languages: tuple[str, ...] = ("de", "en", "es", "fr")) -> DataFrame:
     """``docs`` without the rejected rows: same columns.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .html_text import extract_pages
-from .language import identify_language
+from .language import identify_language, identify_pages
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .nearest import nearest
@@ -56,6 +56,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 over pages, which carry all its evidence: text, markup language, address suffix and host."""
+    return identify_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -64,7 +69,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_exact_dedup, op3_best_fit_packing, op4_url_filter, op5_suffix_array_dedup, op6_nearest_neighbours, op7_quality_classifier, op8_language_id, op9_mix_sources, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_exact_dedup, op3_best_fit_packing, op4_url_filter, op5_suffix_array_dedup, op6_nearest_neighbours, op7_quality_classifier, op8_language_id, pages_language_id, op9_mix_sources, op10_minhash_near_dedup)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
