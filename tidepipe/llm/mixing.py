@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, content_key, materialize, text_or_empty
+from .common import KEY, content_key, materialize, one_of_alike, text_or_empty
 
 #: Documents that a shard holds on average in a large corpus; in a small one shards
 #: are smaller, down to LEAST_DOCS, until there are SOME_SHARDS.
@@ -86,7 +86,7 @@ def mix_sources(
     ``row_col`` if given). Blocks of ``block_words`` words (fewer where a source
     is so small that blocks would be coarse) are apportioned to the sources by
     Sainte-Laguë on their targets. A source's documents are dealt into shards by
-    a seeded hash; each shard's words, in a seeded order, are cut into blocks and
+    a seeded hash of id, size and text; each shard's words, in a seeded order, are cut into blocks and
     the source's quota is split over its shards in whole blocks. A shard takes
     each block as often as its quota goes round, and the rest by a seeded rotation
     of evenly spaced blocks, whose count within a document is a closed form: no
@@ -104,13 +104,14 @@ def mix_sources(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(text_or_empty()).alias("size"),
+            F.xxhash64("text").alias("mark"),
             *([row_col] if row_col else []),
         ),
         "sizes",
     )
     n = sized.count()
     shards = max(1, n // SHARD_DOCS, min(n // LEAST_DOCS, SOME_SHARDS))
-    sized = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", *([row_col] if row_col else [])), F.lit(shards)))
+    sized = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "mark", *([row_col] if row_col else [])), F.lit(shards)))
     shard_sizes = sized.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     sources = source_targets(shard_sizes.groupBy("source").agg(F.sum("shard_size").alias("source_size")), weights, share, repeats)
 
@@ -142,7 +143,7 @@ def mix_sources(
         }
     ).select("source", "shard", "source_size", "target", "block", "blocks", "rounds", "extra", "turn")
 
-    in_shard = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.col("doc_id").isNull(), "doc_id", "size", *([row_col] if row_col else []))
+    in_shard = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size", "mark"), F.col("doc_id").isNull(), "doc_id", "size", "mark", *([row_col] if row_col else []))
     placed = sized.withColumn("stop", F.sum("size").over(in_shard.rowsBetween(Window.unboundedPreceding, 0)))
     both = placed.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.shard") == F.col("p.shard"))).drop(F.col("p.source")).drop(F.col("p.shard"))
 
@@ -170,5 +171,5 @@ def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + chance)).cast("int")
     # Rows alike in id, text and source are taken together.
     mix = mix.groupBy(KEY).agg(F.sum(times).alias(TIMES)).where(F.col(TIMES) > 0)
-    mixed = keyed.join(materialize(mix, "times"), KEY).dropDuplicates([KEY])
-    return mixed.withColumn("__tidepipe_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(TIMES)))).drop(KEY, TIMES, "__tidepipe_copy")
+    mixed = one_of_alike(keyed.join(materialize(mix, "times"), KEY), KEY)
+    return mixed.withColumn("__tidepipe_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(TIMES)))).drop(TIMES, "__tidepipe_copy")
