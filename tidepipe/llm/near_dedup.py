@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, WHITE_RUN, content_key, materialize, shuffle_partitions, text_or_empty
+from .common import KEY, WHITE_RUN, content_key, materialize, one_of_alike, shuffle_partitions, text_or_empty
 from .textbatch import MIX_A, PrefixHash, mix, powers, text_chunks, words
 
 SHINGLE_WORDS, SKETCHES, TAKEN, SIMILARITY = 5, 16, 3, 0.8
@@ -253,8 +253,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     share a sketch form a bucket. A bucket never becomes pairs: its most central
     node (the one whose buckets are the fullest, which is where copies of one
     original meet) leads it and every member is aligned with the leader. Buckets
-    whose members that leaves in several components are compared whole, by tiles of
-    bounded blocks: a product of incidence matrices says which pairs share enough
+    whose members that leaves in several components are compared whole, component
+    against component, by tiles of bounded blocks: a product of incidence matrices says which pairs share enough
     items to be linked, and only links between different components leave a tile.
 
     Null text counts as empty; empty texts are one class. Texts of under five
@@ -294,7 +294,7 @@ def find_links(shaped: DataFrame, nodes: DataFrame) -> DataFrame:
     First every member of a bucket is aligned with the bucket's leader. A bucket
     whose members are then in one component, or that has only the two, is done. In
     the others the members are compared by tiles, of which only links between
-    different components come out.
+    different components come out; see :func:`tiles_of`.
     """
     rows = nodes.select("node", F.explode("sketch").alias("bucket"))
     # Counts and leaders are written before rows meet them: a join of two plain
@@ -321,15 +321,35 @@ def find_links(shaped: DataFrame, nodes: DataFrame) -> DataFrame:
     placed = members.where("members > 2").select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"), F.min("node").alias("first"))
     mixed = materialize(mixed.where("low != high").groupBy("members", "who", "first").agg(F.min("bucket").alias("bucket")), "mixed")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    split = placed.join(mixed.select("bucket", "members"), "bucket").select("bucket", "node", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = split.select("bucket", "node", "root", "block", other).select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "root")
+    tiles = tiles_of(placed.join(mixed.select("bucket"), "bucket").join(nodes.select("node", "n"), "node"))
     tiles = tiles.join(texts, "node").repartition(shuffle_partitions(shaped.sparkSession), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "node")
     more = tiles.mapInArrow(compare_tiles, "a long, b long")
     return led.union(more).distinct()
 
 
+def tiles_of(placed: DataFrame) -> DataFrame:
+    """``bucket, x, y, block, node, root``: the members (bucket, node, root, n) of buckets in the tiles of two blocks that may hold links between components.
+
+    Texts of similarity 0.8 differ in their number of items by a quarter at most,
+    so blocks lie in bands of size and meet those of their own and the next band. A
+    component of many members in a band has blocks of its own, and two blocks of one
+    component never meet: where one component fills a bucket, the others meet it
+    in a number of tiles that grows with the bucket, not with its square.
+    """
+    banded = placed.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / float(np.log(1.01 / SIMILARITY))).cast("int"))
+    per_root = banded.groupBy("bucket", "band", "root").agg(F.count(F.lit(1)).alias("c"))
+    per_root = materialize(per_root.withColumn("whose", F.when(F.col("c") > BLOCK // 2, F.col("root")).otherwise(F.lit(-1))), "per_root")
+    parts = per_root.groupBy("bucket", "band", "whose").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"))
+    along = Window.partitionBy("bucket").orderBy("band", "whose").rowsBetween(Window.unboundedPreceding, -1)
+    parts = materialize(parts.withColumn("first", F.coalesce(F.sum("blocks").over(along), F.lit(0)).cast("int")), "parts")
+    near = parts.select("bucket", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), F.col("whose").alias("whose_other"), F.col("first").alias("first_other"), F.col("blocks").alias("blocks_other"))
+    meet = parts.join(near, ["bucket", "band"]).where((F.col("whose") != F.col("whose_other")) | (F.col("whose") == -1))
+    others = meet.select("bucket", "band", "whose", "first", "blocks", F.explode(F.sequence(F.col("first_other"), F.col("first_other") + F.col("blocks_other") - 1)).alias("other"))
+    split = banded.join(per_root.select("bucket", "band", "root", "whose"), ["bucket", "band", "root"]).join(others, ["bucket", "band", "whose"])
+    block = F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    return split.withColumn("block", block).select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "root")
+
+
 def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each class of near copies: same columns.
 
@@ -337,4 +357,4 @@ def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     """
     kept = classes_of(docs, text_col, id_col).where("kept").select(content_key(F.col("doc_id"), F.hex("digest")).alias(KEY))
     keyed = docs.withColumn(KEY, content_key(F.col(id_col), F.upper(F.sha2(spaced(text_col), 256))))
-    return keyed.join(materialize(kept, "kept"), KEY, "left_semi").dropDuplicates([KEY]).drop(KEY)
+    return one_of_alike(keyed.join(materialize(kept, "kept"), KEY, "left_semi"), KEY)
