@@ -123,3 +123,39 @@ def test_filters_and_columns_reach_the_scan(spark):
     got = events.filter(lambda e: (e["event_type"] == "click") & (e["value"] > 7)).map(lambda e: e["value"] * 2)
     plan = got.records()._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_type,click)" in plan and "GreaterThan(value,7.0)" in plan and "props" not in plan.split("ReadSchema")[1]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_drop_and_page_do_not_gather_all_rows(spark):
+    s = Stream.of(spark.range(1000).repartition(5), "id")
+    for df in (s.drop(10).df, s.drop(10).take(5).df):
+        assert "SinglePartition" not in plan_of(df).replace("TakeOrderedAndProject", "")
+    assert [r["id"] for r in s.drop(10).take(5).collect()] == list(range(10, 15))
+    assert [r["id"] for r in s.drop(10).drop(980).collect()] == list(range(990, 1000))
+    assert s.drop(2000).collect() == [] and s.drop(0) is s and s.drop(3).count() == 997
+    assert [r["id"] for r in s.drop(995).sort_by(lambda r: r["id"], descending=True).take(2).collect()] == [999, 998]
+
+
+def test_folds_of_any_kind(spark):
+    s = Stream.of(spark.range(100).repartition(7), "id").map(lambda r: r["id"])
+    assert s.scan_with(1, lambda a, x: (a * 3 + x) % 1000, "long").collect() == list(accumulate_with(1, range(100)))
+    assert s.scan_with("", lambda a, x: a + str(x), "string", merge=lambda a, b: a + b).last() == "".join(map(str, range(100)))
+    assert s.reduce(F.lit(1).cast("long"), lambda a, x: (a * 3 + x) % 1000, chunk=9) == list(accumulate_with(1, range(100)))[-1]
+    assert s.reduce(F.lit(5).cast("long"), lambda a, x: x + a) == 5 + 4950 and s.reduce(F.lit(-3).cast("long"), F.greatest) == 99
+    empty = s.filter(lambda x: x < 0)
+    assert empty.scan_with(0, lambda a, x: a + x, "long").collect() == [] and empty.reduce(F.lit(7).cast("long"), lambda a, x: a * x) == 7
+
+
+def accumulate_with(acc, xs):
+    for x in xs:
+        acc = (acc * 3 + x) % 1000
+        yield acc
+
+
+def test_joins_of_streams(spark):
+    a, b = Stream.from_list(spark, [1, 2, 3], "int"), Stream.from_list(spark, [2, 3], "int")
+    assert [(x["_1"], x["_2"]) for x in a.join(b, lambda x, y: x < y).collect()] == [(1, 2), (1, 3), (2, 3)]
+    assert a.union(b).collect() == [1, 2, 3, 2, 3] and "Exchange" not in plan_of(a.union(b).df)

@@ -59,3 +59,22 @@ def test_sources(spark, tmp_path):
     assert sources.tick(spark, 100).isStreaming and sources.tick(spark, 3000).columns == ["value", "timestamp"]
     with pytest.raises(ValueError):
         sources.tick(spark, 0)
+
+
+@pytest.mark.parametrize("interval", [700, 1500, 40])
+def test_tick_has_its_interval(spark, interval):
+    df = sources.tick(spark, interval)
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert df.columns == ["value", "timestamp"] and "rate" in plan.lower()
+    if interval == 40:
+        q = df.writeStream.format("memory").queryName("ticks").trigger(processingTime="200 milliseconds").start()
+        import time
+
+        time.sleep(4)
+        q.processAllAvailable()
+        q.stop()
+        rows = spark.table("ticks").orderBy("value").collect()
+        gaps = [(b.timestamp - a.timestamp).total_seconds() for a, b in zip(rows, rows[1:])]
+        assert [r.value for r in rows] == list(range(len(rows))) and len(rows) > 20 and abs(sum(gaps) / len(gaps) - 0.04) < 0.002
+    with pytest.raises(ValueError, match="positive"):
+        sources.tick(spark, 0)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
 
 def _col(x: Any) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
@@ -46,12 +45,23 @@ def ends_with(s: Column, suffix: Any) -> Column:
     return F.endswith(s, _col(suffix))
 
 
+#: Runs of ASCII and of other characters.
+RUNS = r"[\x00-\x7f]+|[^\x00-\x7f]+"
+
+
+def _cased(s: Column, change: Callable[[Column], Column]) -> Column:
+    """``change`` for the ASCII letters of a text: the whole of it at once if it is ASCII, else run by run."""
+    ascii_ = lambda x: F.octet_length(x) == F.char_length(x)
+    runs = F.array_join(F.transform(F.regexp_extract_all(s, F.lit(RUNS), F.lit(0)), lambda r: F.when(ascii_(r), change(r)).otherwise(r)), "")
+    return F.when(ascii_(s), change(s)).otherwise(runs)
+
+
 def to_lower(s: Column) -> Column:
-    return F.translate(s, UPPER, LOWER)
+    return _cased(s, F.lower)
 
 
 def to_upper(s: Column) -> Column:
-    return F.translate(s, LOWER, UPPER)
+    return _cased(s, F.upper)
 
 
 def length(s: Column) -> Column:

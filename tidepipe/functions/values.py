@@ -12,6 +12,9 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import render
 
 
 def col(x: Any) -> Column:
@@ -40,21 +43,72 @@ def if_else(condition: Column, then: Any, otherwise: Any = None) -> Column:
     return F.when(condition, col(then)).otherwise(col(otherwise))
 
 
+class Bind:
+    """A name for what stands at its place in a pattern; see :class:`Match`."""
+
+    def __init__(self, name: str):
+        self.name = name
+
+
+class Rest(Bind):
+    """A name for the rest of a list; only as the last of a list's patterns."""
+
+
+#: Fits everything and names nothing.
+ANY = Bind("_")
+
+
+def fit(pattern: Any, value: Column) -> tuple[Column, dict[str, Column]]:
+    """(whether the pattern fits, what its names are bound to)."""
+    if isinstance(pattern, Bind):
+        return F.lit(True), {pattern.name: value}
+    if isinstance(pattern, (tuple, list, dict)):
+        if isinstance(pattern, tuple):
+            fits, parts = value.isNotNull(), [(p, value[f"_{i}"]) for i, p in enumerate(pattern, 1)]
+        elif isinstance(pattern, dict):
+            fits, parts = value.isNotNull(), [(p, value[k]) for k, p in pattern.items()]
+        else:
+            rest = pattern[-1] if pattern and isinstance(pattern[-1], Rest) else None
+            firsts = pattern[:-1] if rest else pattern
+            fits = list_of(len(firsts), rest is not None)(value)
+            parts = [(p, F.get(value, F.lit(i))) for i, p in enumerate(firsts)]
+            if rest:
+                parts.append((rest, F.slice(value, F.lit(len(firsts) + 1), F.greatest(F.size(value) - len(firsts), F.lit(0)))))
+        names: dict[str, Column] = {}
+        for p, v in parts:
+            ok, bound = fit(p, v)
+            fits, names = fits & ok, names | bound
+        return fits, names
+    return (pattern(value) if callable(pattern) else value.eqNullSafe(F.lit(pattern))), {}
+
+
+class Names:
+    """The columns that a pattern has bound, as attributes."""
+
+    def __init__(self, bound: dict[str, Column]):
+        self.__dict__.update(bound)
+
+
 class Match:
     """``match(x).arm(pattern, result, when=guard)...``: the first arm that fits wins.
 
-    A pattern is a literal (null-safe equality) or a function of the value that
-    gives a boolean column; a result is a value or a function of the value.
+    A pattern is a literal (null-safe equality), a function of the value that gives
+    a boolean column, a tuple, list or dict of patterns for tuples, lists and
+    records, or ``Bind(name)`` for anything; ``Rest(name)`` ends a list of any
+    length. A result is a value or a function of the value, and a guard such a
+    function; where the pattern binds names, both get them instead:
+    ``arm((0, Bind("y")), lambda b: b.y)``.
     """
 
     def __init__(self, value: Column):
         self.value, self.arms = value, []
 
-    def arm(self, pattern: Any, result: Any, when: Callable[[Column], Column] | None = None) -> Match:
-        fits = pattern(self.value) if callable(pattern) else self.value.eqNullSafe(F.lit(pattern))
+    def arm(self, pattern: Any, result: Any, when: Callable[[Any], Column] | None = None) -> Match:
+        fits, bound = fit(pattern, self.value)
+        given = Names(bound) if bound else self.value
         if when:
-            fits = fits & F.coalesce(when(self.value), F.lit(False))
-        self.arms.append((fits, col(result(self.value) if callable(result) else result)))
+            fits = fits & F.coalesce(when(given), F.lit(False))
+        self.arms.append((fits, col(result(given) if callable(result) else result)))
         return self
 
     def otherwise(self, result: Any) -> Column:
@@ -122,15 +176,6 @@ def panic(message: Any) -> Column:
     return F.raise_error(col(message))
 
 
-def to_text(x: Column, kind: str = "string") -> Column:
-    """The text of a scalar: null is ``nil``; doubles of no fraction end in ``.0`` and have no exponent."""
-    if kind in ("double", "float"):
-        d = x.cast("double")
-        whole = (F.abs(d) < 1e15) & (d == F.floor(d).cast("double"))
-        text = F.when(whole, F.concat(d.cast("decimal(38,0)").cast("string"), F.lit(".0"))).otherwise(
-            F.when(F.abs(d).between(1e-4, 1e15), F.rtrim(F.format_string("%.17f", d), F.lit("0"))).otherwise(d.cast("string"))
-        )
-        text = F.when(~whole & F.abs(d).between(1e-3, 1e7), d.cast("string")).otherwise(text)
-    else:
-        text = x.cast("string")
-    return F.coalesce(text, F.lit("nil"))
+def to_text(x: Column, kind: T.DataType | str = "string") -> Column:
+    """The text of a value of type ``kind``, nested or not: null is ``nil``, whole doubles end in ``.0``, none has an exponent."""
+    return render.text(x, kind)

@@ -10,6 +10,7 @@ collect or ordered sink asks for it.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.numbering import COMBINING, numbered, running
+from ..plans.numbering import AT, COMBINING, PART, after, laid_out, numbered, running
 from ..plans.staging import staged
 
 Fn = Callable[[Column], Column]
@@ -31,8 +32,15 @@ def _names(kind: T.DataType) -> tuple[str, ...]:
 class Stream:
     """See the module. ``order`` lists (column, ascending); ``df`` has those and ``value``."""
 
-    def __init__(self, df: DataFrame, order: list[tuple[str, bool]]):
-        self.df, self.order = df, order
+    def __init__(self, df: DataFrame | Callable[[], DataFrame], order: list[tuple[str, bool]], dropped: tuple[Stream, int] | None = None):
+        self._df, self.order, self.dropped = df, order, dropped
+
+    @property
+    def df(self) -> DataFrame:
+        """A drop lays the rows out when they are asked for, so that a take behind it can do without."""
+        if callable(self._df):
+            self._df = self._df()
+        return self._df
 
     # --- making and leaving -------------------------------------------------
 
@@ -99,6 +107,18 @@ class Stream:
         df = self.df.select(F.posexplode("value").alias(place, "value"), *[c for c, _ in self.order])
         return Stream(df, [*self.order, (place, True)])
 
+    def tap_each(self, f: Callable[[Any], None]) -> Stream:
+        """The same elements; ``f`` is called with each, in the tasks that read it, for its side effects. A task that is run again calls it again."""
+        columns = self.df.columns
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for x in batch["value"]:
+                    f(x)
+                yield batch
+
+        return self._with(self.df.mapInPandas(run, self.df.schema).select(*columns))
+
     def tap(self, name: str, *metrics: Column) -> tuple[Stream, Observation]:
         """The same elements; the aggregates can be read from the Observation after an action."""
         seen = Observation(name)
@@ -163,10 +183,18 @@ class Stream:
     # --- order --------------------------------------------------------------
 
     def take(self, n: int) -> Stream:
+        """A top-k: no full sort. After a drop it takes the first of both and leaves the dropped out."""
+        if self.dropped:
+            above, k = self.dropped
+            return self._with(above.df.orderBy(*self.by()).offset(k).limit(max(0, n)))
         return self._with(self.df.orderBy(*self.by()).limit(max(0, n)))
 
     def drop(self, n: int) -> Stream:
-        return self._with(self.df.orderBy(*self.by()).offset(n)) if n > 0 else self
+        """All but the first n; the rows stay spread over the parts of the sort."""
+        if n <= 0:
+            return self
+        above, k = self.dropped or (self, 0)
+        return Stream(lambda: after(above.df, above.by(), n + k), self.order, (above, n + k))
 
     def sort_by(self, key: Fn, descending: bool = False) -> Stream:
         """Stable; descending reverses the ascending result, ties too."""
@@ -214,21 +242,51 @@ class Stream:
             out = out + F.lit(init) if fold in ("sum", "count") else getattr(F, {"min": "least", "max": "greatest"}[fold])(out, F.lit(init))
         return self._with(df.select(out.alias("value"), *[c for c, _ in self.order]))
 
-    def scan_with(self, init: Any, f: Callable[[Any, Any], Any], kind: str) -> Stream:
-        """Running fold of any Python function. Each step needs the one before it, so one task streams over the sorted rows with the fold as its only state; use :meth:`scan` where the fold combines."""
-        cols = [c for c, _ in self.order]
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            acc = init
-            for batch in batches:
-                out = []
-                for x in batch["value"]:
-                    acc = f(acc, x)
-                    out.append(acc)
-                yield batch[cols].assign(value=out)
+    def scan_with(self, init: Any, f: Callable[[Any, Any], Any], kind: str, merge: Callable[[Any, Any], Any] | None = None) -> Stream:
+        """Running fold of any Python function; ``kind`` is the fold's type.
 
+        With ``merge``, which joins two folds each begun at ``init``, the sorted parts
+        are folded in parallel and run again from what comes before each. Without it
+        each step needs the one before, so the parts go one after the other: a task
+        holds a part's rows as a stream and the fold as its only state, and what is
+        done of earlier parts is written. Use :meth:`scan` where the fold combines.
+        """
+        cols = [c for c, _ in self.order]
+        parts = laid_out(self.df, self.by())
         order = ", ".join(f"{c} {self.df.schema[c].dataType.simpleString()}" for c in cols)
-        return self._with(self.df.orderBy(*self.by()).coalesce(1).mapInPandas(run, f"{order}, value {kind}"))
+        out = f"{order}, value {kind}, {PART} int, {AT} long"
+
+        def run(starts: dict[int, Any]):
+            def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                part, acc = None, init
+                for batch in batches:
+                    folds = []
+                    for x, p in zip(batch["value"], batch[PART].tolist(), strict=True):
+                        if p != part:
+                            part, acc = p, starts.get(p, init)
+                        acc = f(acc, x)
+                        folds.append(acc)
+                    yield batch[[*cols, PART, AT]].assign(value=folds)[[*cols, "value", PART, AT]]
+
+            return step
+
+        def folded(rows: DataFrame, starts: dict[int, Any]) -> DataFrame:
+            return rows.repartition(PART).sortWithinPartitions(PART, AT).mapInPandas(run(starts), out)
+
+        numbers = [r[PART] for r in parts.select(PART).distinct().orderBy(PART).collect()]  # a row a part
+        last = lambda rows: {r[PART]: r["value"] for r in rows.groupBy(PART).agg(F.max_by("value", AT).alias("value")).collect()}
+        starts, acc, done = {}, init, []
+        if merge is not None:
+            totals = last(folded(parts, {}))
+            for p in numbers:
+                starts[p] = acc
+                acc = merge(acc, totals[p])
+            done = [folded(parts, starts)]
+        for p in numbers if merge is None else []:
+            done.append(staged(folded(parts.where(F.col(PART) == p), {p: acc}), "scanned"))
+            acc = last(done[-1])[p]
+        rows = reduce(DataFrame.unionByName, done) if done else parts.mapInPandas(run({}), out)
+        return self._with(rows.select("value", *cols))
 
     # --- terminals ----------------------------------------------------------
 
@@ -282,19 +340,46 @@ class Stream:
         return {"is_ok": False, "ok": None, "err": "expected single element" if rows else "empty stream"}
 
     def reduce(self, init: Any, f: Callable[[Column, Column], Column], merge: Callable[[Column, Column], Column] | None = None, chunk: int = 10_000) -> Any:
-        """A left fold. With ``merge``, which joins two folds each begun at ``init``, lists of ``chunk`` elements are folded in parallel and the folds merged in order, level by level; without it the elements must fit one list."""
+        """A left fold.
+
+        A sum of integers, a least or a greatest is one aggregate, whatever the order.
+        With ``merge``, which joins two folds each begun at ``init``, lists of ``chunk``
+        elements are folded in parallel and the folds merged in order, level by level.
+        Without it every step needs the one before: lists of ``chunk`` elements are
+        folded one after the other, each from the fold before it.
+        """
         start = init if isinstance(init, Column) else F.lit(init)
+        plain = self._plain_fold(start, f)
+        if plain is not None:
+            return plain
         values = lambda c: F.transform(F.array_sort(c), lambda z: z["value"])
+        lists = lambda df: df.groupBy(F.floor(F.col("_o0") / chunk).cast("long").alias("_b")).agg(values(F.collect_list(F.struct("_o0", "value"))).alias("xs"))
         numbered_ = self.indexed().df
+        first = self.spark.range(1).select(start.alias("value"))
         if merge is None:
-            rows = numbered_.agg(values(F.collect_list(F.struct("_o0", "value"))).alias("xs"))
-            return rows.select(F.aggregate("xs", start, f)).first()[0]
-        level = lambda df, g: df.groupBy(F.floor(F.col("_o0") / chunk).cast("long").alias("_b")).agg(values(F.collect_list(F.struct("_o0", "value"))).alias("xs")).select(F.col("_b").alias("_o0"), F.aggregate("xs", start, g).alias("value"))
+            some, kind = staged(lists(numbered_), "lists"), first.schema[0].dataType
+            acc = first.first()[0]
+            for b in range(some.agg(F.coalesce(F.max("_b"), F.lit(-1))).first()[0] + 1):
+                acc = some.where(F.col("_b") == b).select(F.aggregate("xs", F.lit(acc).cast(kind), f)).first()[0]
+            return acc
+        level = lambda df, g: lists(df).select(F.col("_b").alias("_o0"), F.aggregate("xs", start, g).alias("value"))
         folds = level(numbered_, f)
         while folds.limit(2).count() > 1:
             folds = level(staged(folds, "folds"), merge)
         row = folds.first()
-        return row["value"] if row else self.spark.range(1).select(start).first()[0]
+        return row["value"] if row else first.first()[0]
+
+    def _plain_fold(self, start: Column, f: Callable[[Column, Column], Column]) -> Any:
+        """The value of a fold that is a sum of integers, a least or a greatest; else null."""
+        a, x = F.col("a"), F.col("x")
+        form = str(f(a, x))
+        exact = isinstance(self.kind, (T.IntegralType, T.DecimalType))
+        for fold, shapes, sure in (("sum", (a + x, x + a), exact), ("min", (F.least(a, x), F.least(x, a)), True), ("max", (F.greatest(a, x), F.greatest(x, a)), True)):
+            if sure and form in map(str, shapes):
+                out = COMBINING[fold]("value")
+                whole = start + F.coalesce(out, F.lit(0)) if fold == "sum" else {"min": F.least, "max": F.greatest}[fold](start, out)
+                return self._one(whole)[0]
+        return None
 
     def fold(self, name: str, value: Fn = lambda x: x) -> Any:
         """A fold that combines (sum, min, max, count) as one aggregate."""
@@ -319,8 +404,20 @@ class Stream:
         """Grouped data over ``value`` with the named keys, for ``agg``."""
         return self.df.groupBy(*[f(F.col("value")).alias(k) for k, f in keys.items()])
 
+    def join(self, other: Stream, on: Callable[[Column, Column], Column], how: str = "inner") -> Stream:
+        """Pairs (_1, _2) of elements for which ``on`` holds, in the order of both. An equality in ``on`` is a hash or merge join."""
+        sides = [s.df.select(F.col("value").alias(f"_{i}"), *[F.col(c).alias(f"_{i}{c}") for c, _ in s.order]) for i, s in ((1, self), (2, other))]
+        both = sides[0].join(sides[1], on(F.col("_1"), F.col("_2")), how)
+        order = [(f"_{i}{c}", up) for i, s in ((1, self), (2, other)) for c, up in s.order]
+        named = [(f"_o{n}", up) for n, (_, up) in enumerate(order)]
+        return Stream(both.select(F.struct("_1", "_2").alias("value"), *[F.col(c).alias(n) for (c, _), (n, _) in zip(order, named, strict=True)]), named)
+
     def union(self, other: Stream) -> Stream:
-        """This stream's elements, then the other's."""
+        """This stream's elements, then the other's. Orders of like types need no numbering: a branch number comes first."""
+        like = [(self.df.schema[c].dataType, up) for c, up in self.order] == [(other.df.schema[c].dataType, up) for c, up in other.order]
+        if like and self.order:
+            branches = [s.df.select("value", F.lit(i).cast("long").alias("_o0"), *[F.col(c).alias(f"_o{k}") for k, (c, _) in enumerate(s.order, 1)]) for i, s in enumerate((self, other))]
+            return Stream(branches[0].unionByName(branches[1]), [("_o0", True), *[(f"_o{k}", up) for k, (_, up) in enumerate(self.order, 1)]])
         a, b = (s.indexed().df.withColumn("_o1", F.col("_o0")).withColumn("_o0", F.lit(i).cast("long")) for i, s in enumerate((self, other)))
         return Stream(a.unionByName(b), [("_o0", True), ("_o1", True)])
 

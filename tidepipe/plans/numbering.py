@@ -19,14 +19,33 @@ def laid_out(df: DataFrame, order: list[Column]) -> DataFrame:
     return staged(df.orderBy(*order).withColumns({PART: F.spark_partition_id(), AT: place.bitwiseAND((1 << 33) - 1)}), "laid_out")
 
 
+def part_sizes(parts: DataFrame) -> list[tuple[int, int]]:
+    """(part, rows) in order: what reaches the driver is a row for each part of the sort."""
+    return sorted((r[PART], r["_count"]) for r in parts.groupBy(PART).agg(F.count(F.lit(1)).alias("_count")).collect())
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "_n") -> DataFrame:
-    """``df`` with the row's number in ``order``, from 0. What meets in one task is a row for each part."""
+    """``df`` with the row's number in ``order``, from 0. The numbers of the parts' first rows are a broadcast row for each part."""
     parts = laid_out(df, order)
-    counts = parts.groupBy(PART).agg(F.count(F.lit(1)).alias("_count"))
-    before = counts.select(PART, F.coalesce(F.sum("_count").over(Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    firsts, n = [], 0
+    for part, size in part_sizes(parts):
+        firsts.append((part, n))
+        n += size
+    before = df.sparkSession.createDataFrame(firsts, f"{PART} int, _before long")
     return parts.join(F.broadcast(before), PART).withColumn(name, F.col(AT) + F.col("_before")).drop(PART, AT, "_before")
 
 
+def after(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """``df`` without its first ``n`` rows in ``order``: a condition on parts and places, so rows stay where they are."""
+    parts = laid_out(df, order)
+    sizes, k = part_sizes(parts), 0
+    while k < len(sizes) and sizes[k][1] <= n:
+        n -= sizes[k][1]
+        k += 1
+    part = sizes[k][0] if k < len(sizes) else sizes[-1][0] + 1 if sizes else 0
+    return parts.where((F.col(PART) > part) | ((F.col(PART) == part) & (F.col(AT) >= n))).drop(PART, AT)
+
+
 #: Folds that combine: name -> aggregate over values.
 COMBINING = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
 

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (one machine, tests) a local folder is made and set."""
+    """``spark.checkpoint.dir``; where it is unset a local folder is made and set, which only one machine's session may use."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local") or "cluster" in spark.conf.get("spark.master", ""):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidepipe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -22,3 +24,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/tidepipe/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a staged DataFrame that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/tidepipe/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import json as J
@@ -14,9 +14,11 @@ from .functions import maps as M
 from .functions import results as R
 from .functions import strings as S
 from .functions import values as V
+from .operators import jobs
 from .operators.stream import Stream
 from .plans.staging import shared_dir
 from .sources import readers
+from .sinks import writers
 from .sinks.writers import sink
 from .streaming import sources as streams
 from .streaming import stateful
@@ -47,7 +49,7 @@ def orders(spark: SparkSession, d: str) -> Stream:
 
 
 def one_row(spark: SparkSession, **values) -> DataFrame:
-    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
+    return spark.range(1).select(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in values.items()])
 
 
 # --- transforms -----------------------------------------------------------------
@@ -195,14 +197,28 @@ def q_par_map_result(spark, d):
     return tried.records().withColumn("err", err)
 
 
-@query("SELECT event_id, user_id FROM events")
+def _seen(spark, tapped) -> DataFrame:
+    """What a tap has seen when the stream has been read."""
+    stream, seen = tapped
+    n = stream.df.agg(F.count("value").alias("n")).first()["n"]
+    return one_row(spark, passed=n, **seen.get)
+
+
+@query("SELECT count(*) AS passed, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events")
 def q_tap(spark, d):
-    return events(spark, d).tap("seen", F.count(F.lit(1)).alias("n"))[0].records().select("event_id", "user_id")
+    return _seen(spark, events(spark, d).tap("seen", F.count(F.lit(1)).alias("n"), F.sum("value.user_id").alias("users")))
+
 
+@query("SELECT count(*) AS passed, CAST(sum(user_id) AS BIGINT) AS total FROM events")
+def q_tap_each(spark, d):
+    total = spark.sparkContext.accumulator(0)
+    stream = events(spark, d).map(lambda e: e["user_id"]).tap_each(lambda x: total.add(x))
+    return one_row(spark, passed=stream.count(), total=F.lit(total.value).cast("long"))
 
-@query("SELECT event_id % 7 <> 0 AS is_ok FROM events")
+
+@query("SELECT count(*) AS passed, count(*) FILTER (event_id % 7 = 0) AS errors FROM events")
 def q_tap_err(spark, d):
-    return _props(spark, d).tap_err("failed")[0].map(R.is_ok).records().toDF("is_ok")
+    return _seen(spark, _props(spark, d).tap_err("failed")).select("passed", "errors")
 
 
 @query("SELECT event_id, user_id FROM events")
@@ -215,6 +231,48 @@ def q_throttle(spark, d):
     return events(spark, d).throttle(1000, "per_second").records().select("event_id", "user_id")
 
 
+@query("SELECT event_id * 3 AS value FROM events")
+def q_par_map_unordered(spark, d):
+    return events(spark, d).par_map_unordered(lambda e: e["event_id"] * 3, 4).records()
+
+
+@query("SELECT CAST(sum(o_custkey) AS BIGINT) AS total, count(*) AS n FROM orders")
+def q_each(spark, d):
+    total, n = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def note(x: int) -> None:
+        total.add(x)
+        n.add(1)
+
+    orders(spark, d).map(lambda o: o["o_custkey"]).each(note)
+    return one_row(spark, total=F.lit(total.value).cast("long"), n=F.lit(n.value).cast("long"))
+
+
+@query("SELECT event_id, CAST(sum(user_id * 2) OVER (ORDER BY event_id) AS BIGINT) AS total FROM events")
+def q_scan_with(spark, d):
+    folds = events(spark, d).map(lambda e: e["user_id"] * 2).scan_with(0, lambda a, x: a + x, "long", merge=lambda a, b: a + b)
+    return folds.df.select(F.col("_o0").alias("event_id"), F.col("value").alias("total"))
+
+
+@query("SELECT n_nationkey, string_agg(n_name, '') OVER (ORDER BY n_nationkey) AS names FROM nation")
+def q_scan_with_steps(spark, d):
+    names = Stream.of(table(spark, d, "nation"), "n_nationkey").map(lambda n: n["n_name"]).scan_with("", lambda a, x: a + x, "string")
+    return names.df.select(F.col("_o0").alias("n_nationkey"), F.col("value").alias("names"))
+
+
+@query("SELECT string_agg(n_name, '' ORDER BY n_nationkey) AS names FROM nation")
+def q_reduce_steps(spark, d):
+    return one_row(spark, names=Stream.of(table(spark, d, "nation"), "n_nationkey").map(lambda n: n["n_name"]).reduce("", V.concat, chunk=4))
+
+
+@query("SELECT min(l_shipdate) AS first, max(l_quantity) AS most FROM lineitem")
+def q_reduce_min_max(spark, d):
+    lines = table(spark, d, "lineitem")
+    first = Stream.of(lines, *lines.columns).map(lambda x: x["l_shipdate"]).reduce(F.lit("2200-01-01").cast("timestamp_ntz"), F.least)
+    most = Stream.of(lines, *lines.columns).map(lambda x: x["l_quantity"]).reduce(F.lit(0.0), F.greatest)
+    return one_row(spark, first=first, most=most)
+
+
 # --- terminals ------------------------------------------------------------------
 
 
@@ -334,6 +392,54 @@ def q_string_case_length(spark, d):
     return Stream.of(table(spark, d, "documents"), "doc_id").map(f).records()
 
 
+@query("""
+    SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'axis ' || o_orderkey % 3 WHEN o_orderkey % 3 = 0 THEN 'axis ' || o_custkey % 5
+        WHEN o_custkey % 5 > o_orderkey % 3 THEN 'above' ELSE 'sum ' || (o_custkey % 5 + o_orderkey % 3) END AS place,
+        o_custkey % 7 + len(list_filter([o_custkey % 2, o_custkey % 3], lambda x: x > 0)) AS ends FROM orders
+""")
+def q_match_bind(spark, d):
+    def f(o):
+        point = L.tuple_of(o["o_custkey"] % 5, o["o_orderkey"] % 3)
+        say = lambda word: lambda b: F.concat(F.lit(word), (b.x if hasattr(b, "x") else b.y).cast("string"))
+        place = (
+            V.match(point)
+            .arm((0, V.Bind("y")), say("axis "))
+            .arm((V.Bind("x"), 0), say("axis "))
+            .arm((V.Bind("x"), V.Bind("y")), "above", when=lambda b: b.x > b.y)
+            .arm((V.Bind("x"), V.Bind("y")), lambda b: F.concat(F.lit("sum "), (b.x + b.y).cast("string")))
+            .end()
+        )
+        some = F.filter(F.array(o["o_custkey"] % 2, o["o_custkey"] % 3), lambda x: x > 0)
+        xs = F.concat(F.array(o["o_custkey"] % 7), some)
+        ends = V.match(V.record(list=xs)).arm({"list": [V.Bind("head"), V.Rest("more")]}, lambda b: b.head + F.size(b.more)).end()
+        return V.record(o_orderkey=o["o_orderkey"], place=place, ends=ends)
+
+    return orders(spark, d).map(f).records()
+
+
+@query("SELECT event_id, lower(typeof(user_id)) AS type, CAST(value AS VARCHAR) AS number, '[' || user_id || ', nil, ' || CAST(value AS VARCHAR) || ']' AS list, '{a: ' || event_type || ', b: (' || user_id || ', true)}' AS record FROM events")
+def q_str(spark, d):
+    def f(e):
+        xs, r = F.array(e["user_id"].cast("string"), F.lit(None).cast("string"), V.to_text(e["value"], "double")), V.record(a=e["event_type"], b=L.tuple_of(e["user_id"], F.lit(True)))
+        return V.record(event_id=e["event_id"], type=V.type_of(e["user_id"]), number=V.to_text(e["value"], "double"), list=V.to_text(xs, "array<string>"), record=V.to_text(r, "struct<a:string,b:struct<_1:bigint,_2:boolean>>"))
+
+    return events(spark, d).map(f).records()
+
+
+@query("SELECT count(*) AS n FROM events WHERE user_id >= 0")
+def q_check(spark, d):
+    return one_row(spark, n=events(spark, d).filter(lambda e: V.check(e["user_id"] >= 0).isNull()).count())
+
+
+@query("SELECT n_nationkey, n_name AS first, n_regionkey AS second, NULL AS third, n_nationkey + n_regionkey AS sum FROM nation")
+def q_tuples(spark, d):
+    def f(n):
+        t = L.tuple_of(n["n_name"], n["n_regionkey"])
+        return V.record(n_nationkey=n["n_nationkey"], first=L.tuple_get(t, 0, 2), second=L.tuple_get(t, 1, 2), third=L.tuple_get(t, 2, 2).cast("int"), sum=n["n_nationkey"] + t["_2"])
+
+    return Stream.of(table(spark, d, "nation"), "n_nationkey").map(f).records()
+
+
 # --- lists, maps, results, JSON ---------------------------------------------------
 
 
@@ -417,9 +523,16 @@ def q_option(spark, d):
     return events(spark, d).map(f).records()
 
 
+@query("SELECT event_id, user_id * 2 AS value, value + 1 AS some FROM events WHERE user_id % 2 = 0")
+def q_unwrap(spark, d):
+    even = events(spark, d).filter(lambda e: e["user_id"] % 2 == 0)
+    return even.map(lambda e: V.record(event_id=e["event_id"], value=R.unwrap(R.result(e["user_id"] % 2 == 0, e["user_id"] * 2, "odd")), some=R.option_unwrap(R.some(e["value"] + 1)))).records()
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.none') AS missing FROM events")
 def q_json_get(spark, d):
-    f = lambda e: V.record(event_id=e["event_id"], k=V.variant_field(F.try_parse_json(e["props"]), "$.k", "int"), missing=J.field(e["props"], "$.none"))
+    parsed = lambda e: F.try_parse_json(e["props"])
+    f = lambda e: V.record(event_id=e["event_id"], k=V.variant_field(parsed(e), "$.k", "int"), missing=V.variant_field(parsed(e), "$.none", "string"))
     return events(spark, d).map(f).records()
 
 
@@ -429,6 +542,21 @@ def q_json_encode(spark, d):
     return Stream.of(table(spark, d, "nation"), "n_nationkey").map(f).records()
 
 
+NUMBER = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"
+
+
+@query(f"""SELECT event_id, event_id % 9 <> 0 AS is_ok, CASE WHEN event_id % 9 <> 0 THEN '{{"v":' || {NUMBER.format("value")} || ',"xs":[' || user_id || ',null],"m":{{"' || event_type || '":true}}}}' END AS ok,
+    CASE WHEN event_id % 9 = 0 THEN 'cannot encode NaN or Infinity to JSON' END AS err FROM events""")
+def q_json_encode_result(spark, d):
+    def f(e):
+        number = F.when(e["event_id"] % 9 == 0, F.lit(float("nan"))).otherwise(e["value"])
+        value = V.record(v=number, xs=F.array(e["user_id"], F.lit(None).cast("long")), m=F.create_map(e["event_type"], F.lit(True)))
+        r = J.try_encode(value, "struct<v:double,xs:array<bigint>,m:map<string,boolean>>")
+        return V.record(event_id=e["event_id"], is_ok=r["is_ok"], ok=r["ok"], err=r["err"])
+
+    return events(spark, d).map(f).records()
+
+
 @query("SELECT * REPLACE (upper(n_name) || '!' AS n_name), n_nationkey * 2 AS twice FROM nation")
 def q_record_spread(spark, d):
     return Stream.of(table(spark, d, "nation"), "n_nationkey").map(lambda n: V.spread(n, n_name=F.concat(F.upper(n["n_name"]), F.lit("!")), twice=n["n_nationkey"] * 2)).records()
@@ -459,7 +587,15 @@ def q_group_reduce(spark, d):
 
 @query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def q_nl_join(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    nations = Stream.of(table(spark, d, "nation"), "n_nationkey")
+    pairs = Stream.of(table(spark, d, "customer"), "c_custkey").join(nations, lambda c, n: c["c_nationkey"] == n["n_nationkey"])
+    return pairs.map(lambda p: V.record(c_custkey=p["_1"]["c_custkey"], n_name=p["_2"]["n_name"])).records()
+
+
+@query("SELECT r_name, n_name FROM region JOIN nation ON n_regionkey < r_regionkey")
+def q_nl_join_condition(spark, d):
+    regions, nations = Stream.of(table(spark, d, "region"), "r_regionkey"), Stream.of(table(spark, d, "nation"), "n_nationkey")
+    return regions.join(nations, lambda r, n: n["n_regionkey"] < r["r_regionkey"]).map(lambda p: V.record(r_name=p["_1"]["r_name"], n_name=p["_2"]["n_name"])).records()
 
 
 @query("SELECT n_name AS value FROM nation UNION ALL SELECT r_name FROM region")
@@ -495,6 +631,108 @@ def q_text_roundtrip(spark, d):
     return readers.text(spark, _roundtrip(spark, Stream.of(table(spark, d, "nation"), "n_nationkey").map(lambda n: n["n_name"]), "text")).records()
 
 
+def _written(spark, stream: Stream, fmt: str, **options) -> DataFrame:
+    """The lines that a sink has written, as text."""
+    path = f"{shared_dir(spark)}/tidepipe/{uuid.uuid4().hex}/{fmt}"
+    sink(stream, path, fmt, **options)
+    return readers.text(spark, path).records()
+
+
+@query("SELECT '{event_id: ' || event_id || ', value: ' || CAST(value AS VARCHAR) || ', xs: [' || user_id || ', nil]}' AS value FROM events")
+def q_text_values(spark, d):
+    return _written(spark, events(spark, d).map(lambda e: V.record(event_id=e["event_id"], value=e["value"], xs=F.array(e["user_id"], F.lit(None).cast("long")))), "text")
+
+
+@query(f"SELECT unnest([CAST(user_id AS VARCHAR) || '', {NUMBER.format('value')}]) AS value FROM events")
+def q_jsonl_lists(spark, d):
+    return _written(spark, events(spark, d).map(lambda e: F.array(e["user_id"].cast("double"), e["value"])), "jsonl")
+
+
+@query(f"""SELECT '{{"key":' || o_orderkey || ',"price":' || {NUMBER.format("o_totalprice")} || ',"pair":["' || o_orderstatus || '",' || o_custkey || ']}}' AS value FROM orders""")
+def q_jsonl_nested(spark, d):
+    return _written(spark, orders(spark, d).map(lambda o: V.record(key=o["o_orderkey"], price=o["o_totalprice"], pair=L.tuple_of(o["o_orderstatus"], o["o_custkey"]))), "jsonl")
+
+
+@query("SELECT c_custkey || ',' || CAST(c_acctbal AS VARCHAR) || ',[' || c_nationkey || ']' AS value FROM customer")
+def q_csv_values(spark, d):
+    rows = Stream.of(table(spark, d, "customer"), "c_custkey").map(lambda c: V.record(key=c["c_custkey"], balance=c["c_acctbal"], nations=F.array(c["c_nationkey"])))
+    return _written(spark, rows, "csv", header=False)
+
+
+def _nations(spark, d) -> Stream:
+    return Stream.of(table(spark, d, "nation"), "n_nationkey").map(lambda n: V.record(key=n["n_nationkey"], name=n["n_name"]))
+
+
+@query("""SELECT '[' AS value UNION ALL SELECT CASE WHEN n_nationkey = 0 THEN '' ELSE ',' END || '{"key":' || n_nationkey || ',"name":"' || n_name || '"}' FROM nation UNION ALL SELECT ']'""")
+def q_json_folder(spark, d):
+    """A document in another store is a folder; here the store is this machine's, by a scheme of its own."""
+    return writers.folder_document(_nations(spark, d), "json", True, ",", 2)
+
+
+@query("SELECT n_nationkey AS key, n_name AS name FROM nation")
+def q_json_source(spark, d):
+    path = f"{shared_dir(spark)}/tidepipe/{uuid.uuid4().hex}"
+    writers.folder_document(_nations(spark, d), "json_pretty", True, ",", 2).coalesce(1).write.text(path)
+    return readers.json(spark, path, "struct<key:int,name:string>").filter_ok().records()
+
+
+@query("""
+    WITH w AS (SELECT greatest(3, max(strlen(CAST(n_nationkey AS VARCHAR)))) AS a, greatest(4, max(strlen(n_name))) AS b FROM nation)
+    SELECT rtrim(rpad(CAST(n_nationkey AS VARCHAR), CAST(a AS INTEGER), ' ') || '  ' || rpad(n_name, CAST(b AS INTEGER), ' ')) AS value FROM nation, w
+    UNION ALL SELECT rtrim(rpad('key', CAST(a AS INTEGER), ' ') || '  ' || rpad('name', CAST(b AS INTEGER), ' ')) FROM w
+""")
+def q_table(spark, d):
+    return writers.folder_document(_nations(spark, d), "table", True, ",", 2)
+
+
+@query("""
+    WITH w AS (SELECT greatest(3, max(strlen(CAST(n_nationkey AS VARCHAR)))) AS a, greatest(4, max(strlen(n_name))) AS b FROM nation),
+         c AS (SELECT CAST(n_nationkey AS VARCHAR) AS k, n_name AS n FROM nation UNION ALL SELECT 'key', 'name' UNION ALL SELECT repeat('-', CAST(a AS BIGINT)), repeat('-', CAST(b AS BIGINT)) FROM w)
+    SELECT '| ' || rpad(k, CAST(a AS INTEGER), ' ') || ' | ' || rpad(n, CAST(b AS INTEGER), ' ') || ' |' AS value FROM c, w
+""")
+def q_markdown(spark, d):
+    return writers.folder_document(_nations(spark, d), "markdown", True, ",", 2)
+
+
+@query("SELECT n_name AS value FROM nation UNION ALL SELECT n_name FROM nation")
+def q_gzip_append(spark, d):
+    names = Stream.of(table(spark, d, "nation"), "n_nationkey").map(lambda n: n["n_name"])
+    path = f"{shared_dir(spark)}/tidepipe/{uuid.uuid4().hex}/gz"
+    sink(names, path, "text", compress="gzip")
+    sink(names, path, "text", compress="gzip", append=True, retry=2)
+    return readers.text(spark, path).records()
+
+
+@query("SELECT n_name AS value FROM nation")
+def q_stdin(spark, d):
+    return readers.stdin(spark, [f"{x}\n" for x in Stream.of(table(spark, d, "nation"), "n_nationkey").map(lambda n: n["n_name"]).collect()]).records()
+
+
+@query("SELECT r_regionkey * 2 AS value FROM region")
+def q_from_list(spark, d):
+    return Stream.from_list(spark, Stream.of(table(spark, d, "region"), "r_regionkey").map(lambda r: r["r_regionkey"]).collect(), "int").map(lambda x: x * 2).records()
+
+
+@query("""
+    SELECT event_id, event_id % 50 <> 0 AS is_ok, CASE WHEN event_id % 50 <> 0 THEN event_id END AS id, CASE WHEN event_id % 50 = 0 THEN CAST(row_number() OVER (ORDER BY event_id) AS INTEGER) END AS line,
+        CASE WHEN event_id % 100 = 0 THEN 'expected string key in object' WHEN event_id % 50 = 0 THEN 'unexpected end of input' END AS message FROM events
+""")
+def q_jsonl_errors(spark, d):
+    """Every fiftieth line is broken; the lines are read back from many files in order, as one."""
+    broken = lambda e: F.when(e["event_id"] % 100 == 0, F.lit("{broken}")).when(e["event_id"] % 50 == 0, F.lit('{"id":')).otherwise(F.concat(F.lit('{"id":'), e["event_id"].cast("string"), F.lit("}")))
+    path = f"{shared_dir(spark)}/tidepipe/{uuid.uuid4().hex}"
+    events(spark, d).map(broken).df.orderBy("_o0").select("value").coalesce(1).write.text(path)
+    numbered = readers.jsonl(spark, path, "id long").indexed().df.withColumn("event_id", F.col("_o0") + events(spark, d).map(lambda e: e["event_id"]).min())
+    return numbered.select("event_id", "value.is_ok", F.col("value.ok.id").alias("id"), F.col("value.err.line").alias("line"), F.col("value.err.message").alias("message"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(user_id) AS BIGINT) AS total, FALSE AS failed_is_ok FROM events")
+def q_spawn_join(spark, d):
+    n, total = jobs.spawn(lambda: events(spark, d).count()), jobs.spawn(lambda: events(spark, d).map(lambda e: e["user_id"]).sum())
+    failed = jobs.spawn(lambda: 1 // 0)
+    return one_row(spark, n=F.lit(jobs.join(n)["ok"]).cast("long"), total=F.lit(jobs.join(total)["ok"]).cast("long"), failed_is_ok=jobs.join(failed)["is_ok"])
+
+
 @query("""
     SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
     FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL
@@ -514,11 +752,20 @@ def _unbounded(spark: SparkSession, d: str) -> DataFrame:
     return streams.records(spark, f"{d}/events.parquet*", EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drained(df: DataFrame, last: Callable[[SparkSession, str], DataFrame] | None = None) -> DataFrame:
-    """What an append-mode stream writes until its input is used up, and what ``last`` finds in its checkpoint then."""
+def _drained(df: DataFrame, last: Callable[[SparkSession, str], DataFrame] | None = None, mode: str = "append", rate: int | None = None) -> DataFrame:
+    """What a stream writes until its input is used up, and what ``last`` finds in its checkpoint then; in complete mode each micro-batch replaces what was."""
     path = f"{shared_dir(df.sparkSession)}/tidepipe/{uuid.uuid4().hex}"
-    run = df.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
-    run.awaitTermination()
+    writer = df.writeStream.option("checkpointLocation", f"{path}/state")
+    if mode == "complete":
+        writer = writer.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/out"))
+    else:
+        writer = writer.format("parquet").option("path", f"{path}/out")
+    if rate is None:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    else:
+        run = streams.throttled(writer, rate).start()
+        run.processAllAvailable()
+        run.stop()
     out = df.sparkSession.read.schema(df.schema).parquet(f"{path}/out")
     return out.unionByName(last(df.sparkSession, f"{path}/state")) if last else out
 
@@ -554,3 +801,24 @@ def q_stream_batch(spark, d):
 def q_stream_batch_all(spark, d):
     lists = _drained(stateful.batches(_unbounded(spark, d), 50, "event_type", "event_id", "user_id"), stateful.last_batches)
     return lists.select("event_type", "batch", F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def q_stream_windows(spark, d):
+    counts = stateful.windowed(_unbounded(spark, d), "ts", "10 minutes", "1 hour", None, F.count(F.lit(1)).alias("n"), by=("event_type",))
+    return _drained(counts, mode="complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""
+    WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events),
+         s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM e)
+    SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session
+""")
+def q_stream_sessions(spark, d):
+    found = stateful.sessions(_unbounded(spark, d), "ts", "10 minutes", "1 day", F.count(F.lit(1)).alias("n"), by=("user_id",))
+    return _drained(found, mode="complete").select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT event_id, user_id FROM events")
+def q_stream_throttled(spark, d):
+    return _drained(_unbounded(spark, d).select("event_id", "user_id"), rate=100_000)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -13,15 +15,16 @@ from ..sources.readers import location
 def tick(spark: SparkSession, interval_ms: int) -> DataFrame:
     """0, 1, 2, ...: one for each interval, with its time. Columns ``value, timestamp``.
 
-    Above one a second the rate source makes them; slower ticks are every n-th of its seconds.
+    The rate source counts whole rows a second, so it makes one for each common part
+    of the interval and a second, and every n-th of them is a tick: the interval is
+    exact whatever it is.
     """
     if interval_ms <= 0:
         raise ValueError("interval must be positive")
-    if interval_ms <= 1000:
-        return spark.readStream.format("rate").option("rowsPerSecond", max(1, round(1000 / interval_ms))).load().select("value", "timestamp")
-    every = round(interval_ms / 1000)
-    seconds = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return seconds.where(F.col("value") % every == 0).select((F.col("value") / every).cast("long").alias("value"), "timestamp")
+    part = gcd(interval_ms, 1000)
+    every = interval_ms // part
+    rows = spark.readStream.format("rate").option("rowsPerSecond", 1000 // part).load()
+    return rows.where(F.col("value") % every == 0).select((F.col("value") / every).cast("long").alias("value"), "timestamp")
 
 
 def lines(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
