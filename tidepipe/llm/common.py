@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import dropped
 from ..plans.staging import staged as materialize
 
-__all__ = ["KEY", "WHITE_RUN", "content_key", "materialize", "one_of_alike", "shuffle_partitions", "table", "table_join", "text_or_empty"]
+__all__ = ["KEY", "WHITE_RUN", "content_key", "dropped", "materialize", "one_of_alike", "shuffle_partitions", "table", "table_join", "text_or_empty"]
 
 #: Java and RE2 spelling of one run of ASCII white space.
 WHITE_RUN = r"[\x20\x09-\x0D]+"

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, WHITE_RUN, content_key, materialize, one_of_alike, shuffle_partitions, text_or_empty
+from .common import KEY, WHITE_RUN, content_key, dropped, materialize, one_of_alike, shuffle_partitions, text_or_empty
 from .textbatch import MIX_A, PrefixHash, mix, powers, text_chunks, words
 
 SHINGLE_WORDS, SKETCHES, TAKEN, SIMILARITY = 5, 16, 3, 0.8
@@ -222,7 +222,7 @@ def components(links: DataFrame, nodes_col: tuple[str, str] = ("a", "b")) -> Dat
     Every round each node takes the smallest root among its neighbours' and then
     its root's root, until a round changes nothing. Links of hot nodes are
     combined before they are shuffled. Roots are written each round, so lineage
-    stays short.
+    stays short, and those of the round before are removed.
     """
     a, b = nodes_col
     both = materialize(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(b, a)).distinct(), "links")
@@ -233,8 +233,10 @@ def components(links: DataFrame, nodes_col: tuple[str, str] = ("a", "b")) -> Dat
         jumped = least.alias("l").join(least.select(F.col("node").alias("root"), F.col("root").alias("above")), "root").select("node", F.least("root", "above").alias("root"))
         old = roots.withColumnRenamed("root", "old")
         new = materialize(jumped.join(old, "node"), "roots")
+        dropped(roots)
         roots = new.select("node", "root")
         if not new.where("root < old").take(1):
+            dropped(both)
             return roots
 
 
