@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -95,3 +96,22 @@ def test_packing_holds_every_token_once(steps):
             at += length
         assert at <= 2048
     assert len(held) <= -(-sum(r[3] for r in steps[5]) // 2048) + 2
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_on_empty_tables_and_clashing_columns(spark, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    real = spark.read.parquet(f"{DATA}/documents.parquet").limit(40)
+    assert stage(spark, real.limit(0), DATA).collect() == [], name
+    odd = real
+    for c in ("row", "digest", "node", "root", "bucket", "size", "shard", "kept", "t", "host", "declared", "block"):
+        odd = odd.withColumn(c, F.lit("clash"))
+    got = stage(spark, odd, DATA)
+    assert got.columns == odd.columns and {r.node for r in got.collect()} == {"clash"}, name
+
+
+def test_rows_alike_in_id_and_text_are_chosen_by_content(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "en", s, n) for s in ("x", "y", "z") for n in (1, 2)], SCHEMA)
+    for k in (1, 2):
+        kept = [corpus_pipeline.STAGES[k][1](spark, d, DATA).collect() for d in (docs.repartition(1), docs.orderBy(F.desc("n_chars")).repartition(5, "source"))]
+        assert len(kept[0]) == 1 and kept[0] == kept[1]
