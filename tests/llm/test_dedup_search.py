@@ -72,6 +72,34 @@ def test_repeats_of_repeated_and_null_ids(spark):
     assert R.remove_repeats(docs(spark, [])).collect() == []
 
 
+def test_multikey_quicksort():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 500):
+        group, digits = rng.integers(0, 4, n), rng.integers(0, 3, (n, 4)).astype(np.uint64)
+        assert R.multikey_quicksort(group, digits).tolist() == np.lexsort((*digits.T[::-1], group)).tolist()
+
+
+def test_windows_of_a_split_group(monkeypatch):
+    monkeypatch.setattr(R, "TASK_WINDOWS", 40)  # several chunks a task
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcd") for _ in range(130)).encode()
+    bodies = [(i, text[i % 3 : 120 + i % 2] if i % 4 else text[:110] + b"%03d" % i) for i in range(12)]
+    rows = [(i, (5 << 16) | (len(b) - R.WINDOW), b) for i, b in bodies]
+    ord_, a, body = (list(x) for x in zip(*rows))
+    out = list(R.windows_of([R.batch_of("ord a body", ord_, a, body)]))
+    runs = [r for b in out for r in b.to_pylist() if r["window"] is None]
+    firsts = sorted((r["window"], r["ord"], r["start"]) for b in out for r in b.to_pylist() if r["window"] is not None)
+    merged = list(R.again_windows([R.batch_of("window ord start", *(list(x) for x in zip(*part))) for part in (firsts[:7], firsts[7:])]))
+    covered = {(r["ord"], s) for r in runs + [r for b in merged for r in b.to_pylist()] for s in range(r["start"], r["stop"] - R.WINDOW + 1)}
+    seen, expected = set(), set()
+    for i, b in bodies:
+        for s in range(len(b) - R.WINDOW + 1):
+            if b[s : s + R.WINDOW] in seen:
+                expected.add((i, s + 5))
+            seen.add(b[s : s + R.WINDOW])
+    assert covered == expected and len(out) > 4
+
+
 def test_sorting_of_suffixes():
     rng = random.Random(1)
     strings = [bytes(rng.choice(b"ab") for _ in range(60)) for _ in range(200)]

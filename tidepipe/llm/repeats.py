@@ -16,8 +16,9 @@ of anchors of the same k-mer.
    multikey sorting to a shallow depth, then a blind trie for each group that still
    agrees. The common prefixes of neighbours give, for every place of the window
    around the anchor, classes of equal windows; all but the earliest are repeats.
-   A k-mer of very many surroundings does not become one group: its windows are
-   compared one by one through their hashes.
+   A k-mer of very many surroundings is split: its windows themselves are the
+   strings. A task sorts those of its documents by the same deep-shallow sort and
+   sends on only the earliest of equal ones, which meet in ranges of their bytes.
 4. The repeats of a document, as byte runs, meet its text.
 """
 
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ WINDOW, KMER, SHALLOW = 100, 24, 32
 SPAN = WINDOW - KMER + 1
 #: Anchors that a task settles among themselves at a time.
 TASK_ANCHORS = 1_000_000
-#: Surroundings of a k-mer beyond which its windows are compared through hashes.
-MANY = 5000
+#: Surroundings of a k-mer beyond which it is split by its windows, and the windows that a task sorts at a time.
+MANY, TASK_WINDOWS = 5000, 100_000
 ROWS = "slot long, ctx long, ord long, a long"
 
 
@@ -207,15 +209,44 @@ def blind_trie(strings: list[bytes]) -> tuple[list[int], list[int]]:
     return order, prefix
 
 
+def multikey_quicksort(group: np.ndarray, digits: np.ndarray) -> np.ndarray:
+    """Stable order of the rows by group, then by their digits from the first to the last.
+
+    All open segments take a step at a time: each is parted in three by the median
+    of its first, middle and last digit, and what equals that goes on to the next
+    digit. Segments of one row, or out of digits, are done.
+    """
+    order = np.argsort(group, kind="stable")
+    count = np.unique(group, return_counts=True)[1]
+    depth = np.zeros(len(count), dtype=np.int64)
+    place = np.arange(len(group))
+    while True:
+        still = (count > 1) & (depth < digits.shape[1])
+        place, count, depth = place[np.repeat(still, count)], count[still], depth[still]
+        if not len(count):
+            return order
+        start = np.cumsum(count) - count
+        segment = np.repeat(np.arange(len(count)), count)
+        digit = digits[order[place], depth[segment]]
+        x, y, z = digit[start], digit[start + count // 2], digit[start + count - 1]
+        pivot = np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z))[segment]
+        part = 3 * segment + (digit >= pivot) + (digit > pivot)
+        order[place] = order[place[np.argsort(part, kind="stable")]]
+        count = np.bincount(part, minlength=3 * len(count))
+        depth = np.repeat(depth, 3)
+        depth[1::3] += 1
+
+
 def deep_shallow(group: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of (group, string) and common prefixes of neighbours, -1 between groups.
 
-    ``strings`` is an array of bytes, a row each. Digits of eight bytes are sorted
-    first to last among what the digits before left equal, to the depth SHALLOW.
+    ``strings`` is an array of bytes, a row each. Digits of eight bytes are sorted by
+    multikey quicksort to the depth SHALLOW; rows that are equal so far, and whole
+    groups of them, go through a blind trie.
     """
-    n, size = strings.shape
+    n = len(strings)
     digits = np.ascontiguousarray(strings[:, :SHALLOW]).view(">u8").astype(np.uint64)
-    order = np.lexsort((*digits.T[::-1], group))
+    order = multikey_quicksort(group, digits)
     prefix = np.full(n, -1)
     if n > 1:
         x, y = order[1:], order[:-1]
@@ -318,11 +349,48 @@ def bodies_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the equal windows in a task's rows the earliest, and runs of the others (window null)."""
+    held: list[tuple[int, int, bytes]] = []
+
+    def settled() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        held.sort(key=lambda row: row[:2])
+        views = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(body, np.uint8), WINDOW) for _, _, body in held]
+        ords = np.repeat([ord_ for ord_, _, _ in held], [len(v) for v in views])
+        starts = np.concatenate([np.arange(len(v)) + (a >> 16) for (_, a, _), v in zip(held, views, strict=True)])
+        held.clear()
+        strings = np.concatenate(views)
+        order, prefix = deep_shallow(np.zeros(len(strings), np.int64), strings)  # stable: the earliest of equal ones comes first
+        again = order[prefix == WINDOW]
+        runs = as_runs(ords[again], starts[again])
+        yield batch_of("window ord start stop", pa.nulls(len(runs), pa.binary()), *runs.columns)
+        first = order[prefix < WINDOW]
+        whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WINDOW), len(first), [None, pa.py_buffer(strings[first].tobytes())])
+        yield batch_of("window ord start stop", whole.cast(pa.binary()), ords[first], starts[first], starts[first] + WINDOW)
+
+    n = 0
     for batch in batches:
-        for ord_, a, body in zip(batch["ord"].to_pylist(), batch["a"].to_pylist(), batch["body"].to_pylist(), strict=True):
-            keys = [hashlib.blake2b(body[i : i + WINDOW], digest_size=16).digest() for i in range((a & 255) + 1)]
-            starts = np.arange(len(keys)) + (a >> 16)
-            yield batch_of("key ord start", pa.array(keys, pa.binary()), np.full(len(keys), ord_), starts)
+        for row in zip(batch["ord"].to_pylist(), batch["a"].to_pylist(), batch["body"].to_pylist(), strict=True):
+            held.append(row)
+            n += (row[1] & 255) + 1
+            if n >= TASK_WINDOWS:
+                yield from settled()
+                n = 0
+    yield from settled()
+
+
+def again_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by window, ord, start: runs of all windows that equal the one before."""
+    last = None
+    for batch in batches:
+        if len(batch):
+            window = batch["window"]
+            same = np.zeros(len(batch), dtype=bool)
+            same[0] = window[0].as_py() == last
+            same[1:] = pc.equal(window[1:], window[:-1]).to_numpy(zero_copy_only=False)
+            last = window[-1].as_py()
+            yield as_runs(batch["ord"].to_numpy()[same], batch["start"].to_numpy()[same])
 
 
 def strip_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,10 +448,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     runs = met.where("kind = 1").select("ord", F.col("x").alias("start"), F.col("y").alias("stop"))
     many = materialize(sizes.where(F.col("n") > MANY).select("slot"), "many")
     if many.take(1):
-        windows = materialize(bodies(open_.join(many, "slot")).mapInArrow(windows_of, "key binary, ord long, start long"), "windows")
-        earliest = windows.groupBy("key").agg(F.min(F.struct("ord", "start")).alias("first"))
-        again = windows.join(earliest, "key").where((F.col("ord") != F.col("first.ord")) | (F.col("start") != F.col("first.start")))
-        runs = runs.union(again.select("ord", "start", (F.col("start") + WINDOW).alias("stop")))
+        split = materialize(bodies(open_.join(many, "slot")).mapInArrow(windows_of, "window binary, ord long, start long, stop long"), "windows")
+        firsts = split.where("window is not null").select("window", "ord", "start")
+        again = firsts.repartition(parts, "window").sortWithinPartitions("window", "ord", "start").mapInArrow(again_windows, "ord long, start long, stop long")
+        runs = runs.union(split.where("window is null").drop("window")).union(again)
         open_ = open_.join(many, "slot", "left_anti")
     settled = bodies(open_).repartition(parts, "slot").sortWithinPartitions("slot").mapInArrow(settle_groups, "ord long, start long, stop long")
     runs = materialize(runs.union(settled), "runs").groupBy("ord").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
